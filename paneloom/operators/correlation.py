@@ -14,7 +14,7 @@ from paneloom.operators.ranks import rank_by_group
 from paneloom.operators.spread import GROUP_ROWS, settle, slices_of
 
 #: Up to this many pairs are computed as built-in aggregates; beyond it per-task moment matrices are added up.
-PAIRS_IN_AGGREGATE = 200
+PAIRS_IN_AGGREGATE = 30
 
 
 def _x(column: str) -> Column:

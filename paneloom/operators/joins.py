@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.operators.dedupe import duplicate_count
-from paneloom.operators.spread import broadcast_if_small, settle
+from paneloom.operators.spread import attach
 
 log = logging.getLogger(__name__)
 
@@ -41,7 +41,8 @@ def previous_period_flag(
         .distinct()
         .withColumn(out, F.lit(True))
     )
-    joined = df.join(earlier, [*keys, period], "left")
+    # Few rows satisfy a predicate such as "won": usually small enough to leave the rows where they are.
+    joined = attach(df, earlier, [*keys, period])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(out, F.lit(False)).alias(out))
 
 
@@ -69,19 +70,25 @@ def outer_concat(tables: Sequence[DataFrame], key: str, *, coalesce: bool = Fals
 
 
 def map_or_raise(df: DataFrame, column: str, lookup: DataFrame, lookup_key: str, lookup_value: str) -> DataFrame:
-    """Replace ``column`` by its value in ``lookup``; an unmapped value is an error that lists examples."""
-    pairs = broadcast_if_small(
-        settle(lookup.select(F.col(lookup_key).alias(column), F.col(lookup_value).alias("_mapped")).distinct())
+    """Replace ``column`` by its value in ``lookup``; an unmapped value fails the job and is named.
+
+    The check is part of the expression, so it costs no pass of its own. :func:`unmapped_values` lists all.
+    """
+    pairs = lookup.select(F.col(lookup_key).alias(column), F.col(lookup_value).alias("_mapped")).distinct()
+    value = F.coalesce(
+        F.col("_mapped"), F.raise_error(F.concat(F.lit("unmapped value: "), F.col(column))).cast("string")
     )
-    unknown = df.join(pairs, column, "left_anti").select(column).distinct().orderBy(column).take(20)
-    if unknown:
-        raise ValueError("unmapped values: " + ", ".join(str(r[0]) for r in unknown))
-    joined = df.join(pairs, column, "inner")
-    return joined.select(
-        *[F.col("_mapped").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
+    return attach(df, pairs, [column]).select(
+        *[value.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
     )
 
 
+def unmapped_values(df: DataFrame, column: str, lookup: DataFrame, lookup_key: str) -> DataFrame:
+    """Distinct values of ``column`` that ``lookup`` does not know."""
+    known = lookup.select(F.col(lookup_key).alias(column))
+    return df.join(known, column, "left_anti").select(column).distinct()
+
+
 def look_up(df: DataFrame, key: str, other: DataFrame, other_key: str, value: str, out: str) -> DataFrame:
     """Add ``out`` = ``value`` of the row of ``other`` whose ``other_key`` equals ``key`` (null if none)."""
     pairs = other.select(F.col(f"`{other_key}`").alias(key), F.col(f"`{value}`").alias(out))

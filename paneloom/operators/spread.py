@@ -29,9 +29,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
     """Mark a settled table for broadcast when its measured size allows it."""
-    limit = max(cells // max(len(df.columns), 1), 1)
-    rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+    small = df.count() * max(len(df.columns), 1) <= cells
+    return F.broadcast(df) if small else df
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -167,7 +167,8 @@ def conform_standings(
             **{c: F.col(f"`{c}`").cast("double") for c in ("PW", "PL", "PS/G", "PA/G") if c in kept.columns},
         }
     )
-    ranked = rank_by_group(typed, [period, "CONF"], "W/L%", "CONF_RANK", method="position", tie=["TEAM"])
+    # One row per team and period; the ranking looks at group sizes before it ranks.
+    ranked = rank_by_group(settle(typed), [period, "CONF"], "W/L%", "CONF_RANK", method="position", tie=["TEAM"])
     coded = map_or_raise(ranked, "TEAM", lookup, "raw_name", "code")
     key = F.concat("TEAM", F.lit("_"), F.col(period).cast("string"))
     return coded.withColumn("CONF_RANK", F.col("CONF_RANK").cast("int")).select(key.alias("TEAM_SEASON"), "*")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneloom.functions.text import entity_key, letters_only
+from paneloom.operators.spread import settle
 from paneloom.operators.topk import top_per_group
 from paneloom.plans.league import conform_standings
 from paneloom.plans.stages import bronze, silver
@@ -22,10 +24,15 @@ STATISTICS = [
 ]
 VOTERS = 10
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its schema is looked up in the files once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def hundredths(x: Column) -> Column:
@@ -101,7 +108,8 @@ def ballot(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(season().alias("SEASON"), F.col("o_custkey").alias("custkey"))
         .agg(F.sum(hundredths(F.col("o_totalprice"))).alias("cents"))
     )
-    return top_per_group(spent, ["SEASON"], VOTERS, [F.col("cents").desc(), F.col("custkey").asc()], "place")
+    order = [F.col("cents").desc(), F.col("custkey").asc()]
+    return settle(top_per_group(spent, ["SEASON"], VOTERS, order, "place"))
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +178,14 @@ def standings(spark: SparkSession, sf_dir: str, until: str | None = None) -> Dat
 
 def panel_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, votes, standings and the flags of the year before."""
-    return bronze(panel(spark, sf_dir), votes(spark, sf_dir), standings(spark, sf_dir))
+    return bronze(
+        panel(spark, sf_dir), settle(votes(spark, sf_dir)), settle(standings(spark, sf_dir))
+    )
 
 
 def panel_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze after the filters."""
-    return silver(panel_bronze(spark, sf_dir), **LIMITS)
+    """Bronze after the filters, settled as a stage."""
+    return settle(silver(panel_bronze(spark, sf_dir), **LIMITS))
 
 
 def daily_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

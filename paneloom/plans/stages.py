@@ -21,6 +21,7 @@ from paneloom.operators.mlp import MLPModel, MLPRegressor
 from paneloom.operators.ranks import rank_by_group
 from paneloom.operators.scale import scale_by_group
 from paneloom.operators.shapley import shapley
+from paneloom.operators.spread import settle
 from paneloom.operators.summary import conditional_counts, error_metrics
 from paneloom.operators.topk import top_rows
 from paneloom.operators.outcomes import period_outcomes
@@ -52,6 +53,8 @@ def bronze(
     standings = standings.drop("TEAM_SEASON")
     joined = join_unique(players, votes, ["PLAYER", "TEAM", "SEASON"], "left", on_duplicate=on_duplicate)
     joined = join_unique(joined, standings, ["TEAM", "SEASON"], "inner", on_duplicate=on_duplicate)
+    # Read three times from here on: once for the rows, twice for the flags.
+    joined = settle(joined)
     keys = ["PLAYER", "TEAM"] if same_team else ["PLAYER"]
     won, podium = F.col("MVP_WINNER"), F.col("MVP_PODIUM")
     flagged = previous_period_flag(
