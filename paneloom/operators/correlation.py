@@ -24,13 +24,16 @@ def _x(column: str) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     """Pearson correlation over the rows where both are present; null if either is constant there.
 
-    The variances are covariances of a column with itself, so equal columns correlate at exactly 1.
+    The variances are covariances of a column with itself, so equal columns correlate at exactly 1. Constants are
+    recognised by their range: merging partial variances can leave them a trace of rounding.
     """
     both = a.isNotNull() & b.isNotNull()
     left, right = F.when(both, a), F.when(both, b)
-    return F.try_divide(
+    varies = (F.min(left) < F.max(left)) & (F.min(right) < F.max(right))
+    corr = F.try_divide(
         F.covar_pop(left, right), F.sqrt(F.covar_pop(left, left) * F.covar_pop(right, right))
     )
+    return F.when(varies, corr)
 
 
 # ---------------------------------------------------------------- pairs of columns
@@ -64,10 +67,13 @@ def _pairs_by_aggregate(df: DataFrame, names: list[str], pairs: list[tuple[int,
 def _pairs_by_moments(df: DataFrame, names: list[str]) -> DataFrame:
     """Masked moment matrices per task (p x p numbers each), summed by Spark.
 
-    Values are shifted by the column means first, which keeps the sums of squares well conditioned.
+    Values are shifted by the column means first, which keeps the sums of squares well conditioned; a constant
+    column is shifted by its value and becomes exact zeros.
     """
     narrow = df.select(*[_x(c).alias(f"c{i}") for i, c in enumerate(names)])
-    means = narrow.agg(*[F.avg(c) for c in narrow.columns]).first()
+    means = narrow.agg(
+        *[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)) for c in narrow.columns]
+    ).first()
     shift = np.array([0.0 if m is None else m for m in means])
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,19 +31,28 @@ def join_unique(
     return df.join(other, list(on), how)
 
 
-def previous_period_flag(
-    df: DataFrame, keys: Sequence[str], period: str, predicate: Column, out: str
+def previous_period_flags(
+    df: DataFrame, keys: Sequence[str], period: str, predicates: dict[str, Column]
 ) -> DataFrame:
-    """True where the same ``keys`` satisfied ``predicate`` exactly one period earlier, else false."""
+    """One flag per predicate: true where the same ``keys`` satisfied it exactly one period earlier, else false.
+
+    Few rows satisfy a predicate such as "won", so the table of earlier hits is usually small enough to leave the
+    rows where they are.
+    """
     earlier = (
-        df.where(predicate)
-        .select(*keys, (F.col(period) + 1).alias(period))
-        .distinct()
-        .withColumn(out, F.lit(True))
+        df.where(reduce(lambda a, b: a | b, predicates.values()))
+        .groupBy(*keys, (F.col(period) + 1).alias(period))
+        .agg(*[F.bool_or(p).alias(out) for out, p in predicates.items()])
     )
-    # Few rows satisfy a predicate such as "won": usually small enough to leave the rows where they are.
-    joined = attach(df, earlier, [*keys, period])
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(out, F.lit(False)).alias(out))
+    flags = [F.coalesce(out, F.lit(False)).alias(out) for out in predicates]
+    return attach(df, earlier, [*keys, period]).select(*[F.col(f"`{c}`") for c in df.columns], *flags)
+
+
+def previous_period_flag(
+    df: DataFrame, keys: Sequence[str], period: str, predicate: Column, out: str
+) -> DataFrame:
+    """:func:`previous_period_flags` for one predicate."""
+    return previous_period_flags(df, keys, period, {out: predicate})
 
 
 def outer_concat(tables: Sequence[DataFrame], key: str, *, coalesce: bool = False) -> DataFrame:
@@ -78,7 +87,8 @@ def map_or_raise(df: DataFrame, column: str, lookup: DataFrame, lookup_key: str,
     value = F.coalesce(
         F.col("_mapped"), F.raise_error(F.concat(F.lit("unmapped value: "), F.col(column))).cast("string")
     )
-    return attach(df, pairs, [column]).select(
+    # A lookup read from a small file is broadcast by the planner, which knows its size.
+    return df.join(pairs, column, "left").select(
         *[value.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
     )
 

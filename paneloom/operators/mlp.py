@@ -112,6 +112,17 @@ class MLPModel:
         x = F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])
         return df.withColumn(out, predict(F.col(f"`{fold}`").cast("string"), x))
 
+    def transform_all(self, df: DataFrame, out: str) -> DataFrame:
+        """Add the predictions of all weight sets as an array."""
+        weights, hidden = self.weights, self.hidden
+
+        @F.pandas_udf("array<double>")
+        def predict(x: pd.Series) -> pd.Series:
+            rows = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
+            return pd.Series(list(np.stack([_forward(rows, w, hidden) for w in weights], axis=1)))
+
+        return df.withColumn(out, predict(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])))
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the weights as a small Parquet table."""
         rows = [

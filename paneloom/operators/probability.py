@@ -52,7 +52,7 @@ def probability(
     value = part * F.lit(float(factor))
     if rank is not None:
         value = F.when(taken, value).when(~taken, F.lit(0.0))
-    return joined.withColumn(out, value).select(*df.columns, out)
+    return joined.withColumn(out, value).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 def _with_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:

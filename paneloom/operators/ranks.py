@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneloom.operators.spread import GROUP_ROWS, largest_group, running_total
+from paneloom.operators.spread import GROUP_ROWS, attach, largest_group, running_total
 
 METHODS = ("min", "average", "position")
 
@@ -63,7 +63,7 @@ def _rank_by_totals(df, group, score, out, method, tie, ascending) -> DataFrame:
         return placed.withColumn(out, (F.col(out) + 1).cast("long"))
     values = score_ranks(df, group, score, ascending=ascending)
     chosen = values.select(*group, score, F.col(f"_{method}").alias(out))
-    return df.join(chosen, [*group, score], "left").select(*df.columns, out)
+    return attach(df, chosen, [*group, score]).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 def score_ranks(

@@ -16,7 +16,9 @@ def _fit(cols: Sequence[str], method: str) -> list[Column]:
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         if method == "std":
-            shift, width = F.avg(x), F.stddev_pop(x)
+            # A constant is recognised by its range: merged partial variances can keep a trace of rounding.
+            shift = F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.avg(x))
+            width = F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.stddev_pop(x))
         else:
             shift, width = F.min(x), F.max(x) - F.min(x)
         stats += [shift.alias(f"_shift{i}"), width.alias(f"_width{i}")]

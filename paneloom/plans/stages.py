@@ -16,7 +16,7 @@ from paneloom.operators.dedupe import union_names
 from paneloom.operators.encode import fit_one_hot, one_hot, one_hot_names
 from paneloom.operators.filters import at_least, at_most, group_threshold, removed_rows
 from paneloom.operators.folds import assign_folds, fold_means, period_split
-from paneloom.operators.joins import join_unique, previous_period_flag
+from paneloom.operators.joins import join_unique, previous_period_flags
 from paneloom.operators.mlp import MLPModel, MLPRegressor
 from paneloom.operators.ranks import rank_by_group
 from paneloom.operators.scale import scale_by_group
@@ -53,14 +53,16 @@ def bronze(
     standings = standings.drop("TEAM_SEASON")
     joined = join_unique(players, votes, ["PLAYER", "TEAM", "SEASON"], "left", on_duplicate=on_duplicate)
     joined = join_unique(joined, standings, ["TEAM", "SEASON"], "inner", on_duplicate=on_duplicate)
-    # Read three times from here on: once for the rows, twice for the flags.
+    # Read twice from here on: for the rows and for the flags.
     joined = settle(joined)
     keys = ["PLAYER", "TEAM"] if same_team else ["PLAYER"]
     won, podium = F.col("MVP_WINNER"), F.col("MVP_PODIUM")
-    flagged = previous_period_flag(
-        joined, keys, "SEASON", podium & ~won, "PREVIOUS_SEASON_MVP_PODIUM_NOT_WINNER"
+    flagged = previous_period_flags(
+        joined,
+        keys,
+        "SEASON",
+        {"PREVIOUS_SEASON_MVP_PODIUM_NOT_WINNER": podium & ~won, "PREVIOUS_SEASON_MVP_WINNER": won},
     )
-    flagged = previous_period_flag(flagged, keys, "SEASON", won, "PREVIOUS_SEASON_MVP_WINNER")
     return fill_typed(
         flagged, {"MVP_WINNER": False, "MVP_PODIUM": False, "MVP_CANDIDATE": False, TARGET: 0.0}
     )
@@ -231,15 +233,17 @@ def cross_validate(
     """
     folded, names = assign_folds(data, key, splits, repeats=repeats, seed=seed)
     model = regressor.fit(folded, features, target, fold_cols=names)
-    scored = None
-    for k, (f, v) in enumerate(model.held_out):
-        one = MLPModel(model.features, model.hidden, model.weights[[k]], [(f, v)])
-        part = one.transform(folded, "PRED").select(
+    per_set = [
+        F.struct(
             F.lit(f"{f}={v}").alias("fold"),
             F.when(F.col(f) == v, F.lit("validation")).otherwise(F.lit("training")).alias("part"),
-            F.col(target).alias("truth"), "PRED",
+            F.col("_all")[k].alias("PRED"),
         )
-        scored = part if scored is None else scored.unionByName(part)
+        for k, (f, v) in enumerate(model.held_out)
+    ]
+    scored = model.transform_all(folded, "_all").select(
+        F.col(target).alias("truth"), F.inline(F.array(*per_set))
+    )
     per_fold = error_metrics(scored, "truth", "PRED", ["fold", "part"])
     means = fold_means(per_fold, ["mae", "mse", "max_error"], ["part"])
     tested = None

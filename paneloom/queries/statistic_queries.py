@@ -21,9 +21,9 @@ from paneloom.schema import TARGET
 _COLS = op.STATISTICS
 
 
-def _pairs_sql(cols: list[str]) -> str:
+def _pairs_sql(cols: list[str], digits: int = 6) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr("{a}", "{b}")), 6) AS abs_corr FROM wide"""
+        f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr("{a}", "{b}")), {digits}) AS abs_corr FROM wide"""
         for a, b in combinations(cols, 2)
     )
 
@@ -46,7 +46,7 @@ _MORE = [*_COLS, "FGM_per_game", "PTS_36"]
 @query(
     "J2",
     WITH + """, wide AS (SELECT *, "FGA_per_game" * 0.8 + "URG_advanced" * 0.05 AS "FGM_per_game",
-        "PTS_per_game" * 0.5 + "MP" AS "PTS_36" FROM panel), pairs AS (""" + _pairs_sql(_MORE)
+        "PTS_per_game" * 0.5 + "MP" AS "PTS_36" FROM panel), pairs AS (""" + _pairs_sql(_MORE, 15)
     + ") SELECT c.name AS feature FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in _MORE) + """]) AS name) c
       WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE col_b = c.name AND abs_corr > 0.95 AND abs_corr < 1)""",
 )
