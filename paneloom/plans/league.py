@@ -20,7 +20,7 @@ from paneloom.operators.joins import map_or_raise
 from paneloom.operators.ranks import rank_by_group
 from paneloom.operators.spread import attach, settle
 from paneloom.schema import DEFAULT_STAT_TYPES, KEY, NOT_STATISTICS, SHARED, STAT_TYPES
-from paneloom.sources.html import cell, header_names, html_tables
+from paneloom.sources.html import cell, has_column, header_names, html_tables
 
 # Ids of the tables in the pages, and the two-row header of the votes table.
 VOTE_TABLES = ["mvp", "nba_mvp"]
@@ -82,7 +82,8 @@ def _stat_table(rows: DataFrame, stat_type: str) -> DataFrame:
         if c not in TEXT_COLUMNS:
             value = value.cast("double")
         if c.startswith("3P"):
-            value = F.coalesce(value, F.lit(0.0))
+            # Zero where the table has the column without a value; a season without the column stays null.
+            value = F.when(has_column(c), F.coalesce(value, F.lit(0.0)))
         columns.append(value.alias(f"{c}@{stat_type}" if c in SHARED else f"{c}_{stat_type}"))
     return rows.select(*columns)
 

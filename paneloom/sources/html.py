@@ -155,6 +155,11 @@ def cell(name: str) -> Column:
     return F.try_element_at("cells", at)
 
 
+def has_column(name: str) -> Column:
+    """Whether the table has a column with the header ``name``."""
+    return F.array_contains(F.transform("names", lambda n: F.coalesce(F.upper(n), F.lit(""))), name.upper())
+
+
 def header_names(rows: DataFrame) -> list[str]:
     """Distinct upper-cased header names, in the order of their first place (a bounded list)."""
     named = rows.select(F.posexplode(F.transform("names", lambda n: F.upper(n))).alias("at", "name"))
