@@ -29,7 +29,7 @@ STANDINGS_TABLES = {"standings_e": "EASTERN_CONF", "standings_w": "WESTERN_CONF"
 SCHEDULE_TABLES = ["schedule"]
 # Text columns of the statistics; schedule columns that are dropped, and its marker row.
 TEXT_COLUMNS = ["PLAYER", "POS", "TEAM"]
-SCHEDULE_DROPPED = "Unnamed|Notes|Start|Attend|Arena"
+SCHEDULE_DROPPED = "UNNAMED|NOTES|START|ATTEND|ARENA"
 PLAYOFFS = "Playoffs"
 # Seasons without a usable marker, with the first date of their later part.
 LATER_PART_STARTS = {2020: "2020-08-17"}

@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hundredths(x: Column) -> Column:
     """A two-decimal number as a whole number of hundredths."""
-    return F.round(x * 100).cast("long")
+    return F.rint(x * 100).cast("long")
 
 
 def season() -> Column:

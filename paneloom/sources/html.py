@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +111,8 @@ def html_tables(
     """Rows of one table per page: the first of ``table_ids`` that the page has, else its first table.
 
     Keeps the other columns of ``pages`` and adds ``table_id``, ``row_ord``, ``names`` (the cells of row
-    ``header_row``) and ``cells``; rows up to the header are left out. A page without the table is an error,
-    or is left out with ``missing="skip"``, or gives one row without cells with ``missing="mark"``.
+    ``header_row``, upper-cased) and ``cells``; rows up to the header are left out. A page without the table is an
+    error, or is left out with ``missing="skip"``, or gives one row without cells with ``missing="mark"``.
     """
     if missing not in ("raise", "skip", "mark"):
         raise ValueError("missing must be 'raise', 'skip' or 'mark'")
@@ -120,48 +120,62 @@ def html_tables(
     kept = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in kept]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page in batch.to_dict("records"):
-                found = parse_tables(page[html])
-                if ids is not None:
-                    by_id = {i: (i, rows) for i, rows in reversed(found)}
-                    found = [by_id[i] for i in ids if i in by_id]
-                about = [page[n] for n in names]
-                if not found or len(found[0][1]) <= header_row:
+            origin, found_ids, places, heads, lines = [], [], [], [], []
+            for at, document in enumerate(batch.column(html).to_pylist()):
+                found = _choose(parse_tables(document), ids)
+                if found is None or len(found[1]) <= header_row:
                     if missing == "raise":
-                        raise ValueError(f"no table {ids or ''} in page {about}")
-                    if missing == "mark":
-                        out.append([*about, None, None, None, None])
-                    continue
-                table_id, rows = found[0]
-                head = rows[header_row]
-                out += [
-                    [*about, table_id, at, head, cells]
-                    for at, cells in enumerate(rows[header_row + 1 :], header_row + 1)
-                ]
-            frame = pd.DataFrame(out, columns=[*names, "table_id", "row_ord", "names", "cells"])
-            yield frame.astype({"row_ord": "Int32"})
+                        raise ValueError(f"no table {ids or ''} in page {batch.slice(at, 1).select(names).to_pylist()}")
+                    if missing == "skip":
+                        continue
+                    table_id, rows, head = None, [None], None
+                    first = None
+                else:
+                    table_id, rows = found[0], found[1][header_row + 1 :]
+                    head = [c and c.upper() for c in found[1][header_row]]
+                    first = header_row + 1
+                origin += [at] * len(rows)
+                found_ids += [table_id] * len(rows)
+                places += [None if first is None else first + i for i in range(len(rows))]
+                heads += [head] * len(rows)
+                lines += rows
+            about = batch.select(names).take(pa.array(origin, pa.int32()))
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *about.columns, pa.array(found_ids, pa.string()), pa.array(places, pa.int32()),
+                    pa.array(heads, texts), pa.array(lines, texts),
+                ],
+                [*names, "table_id", "row_ord", "names", "cells"],
+            )
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return pages.select(*names, html).mapInPandas(parse, f"{columns}, {ROWS}")
+    return pages.select(*names, html).mapInArrow(parse, f"{columns}, {ROWS}")
+
+
+def _choose(tables: list, ids: list[str] | None):
+    """The first table, or the first of ``ids`` that occurs."""
+    if ids is None:
+        return tables[0] if tables else None
+    return next((t for i in ids for t in tables if t[0] == i), None)
 
 
 def cell(name: str) -> Column:
     """Cell under the header ``name`` (case ignored), null when the table has no such column."""
-    names = F.transform("names", lambda n: F.upper(n))
-    at = F.nullif(F.array_position(names, name.upper()), F.lit(0)).cast("int")
+    at = F.nullif(F.array_position("names", name.upper()), F.lit(0)).cast("int")
     return F.try_element_at("cells", at)
 
 
 def has_column(name: str) -> Column:
     """Whether the table has a column with the header ``name``."""
-    return F.array_contains(F.transform("names", lambda n: F.coalesce(F.upper(n), F.lit(""))), name.upper())
+    return F.array_position("names", name.upper()) > 0
 
 
 def header_names(rows: DataFrame) -> list[str]:
-    """Distinct upper-cased header names, in the order of their first place (a bounded list)."""
-    named = rows.select(F.posexplode(F.transform("names", lambda n: F.upper(n))).alias("at", "name"))
+    """Distinct header names, in the order of their first place (a bounded list)."""
+    # One header per table and page is enough; the rows of a page repeat it.
+    named = rows.select("names").distinct().select(F.posexplode("names").alias("at", "name"))
     first = named.where("name IS NOT NULL").groupBy("name").agg(F.min("at").alias("at"))
     return [r.name for r in first.orderBy("at", "name").collect()]
