@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,12 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.operators.cleaning import numerical_columns
+from paneloom.operators.dedupe import union_all
 from paneloom.operators.ranks import rank_by_group
-from paneloom.operators.spread import GROUP_ROWS, settle, slices_of
+from paneloom.operators.spread import GROUP_ROWS, largest_group, settle, slices_of
 
 #: Up to this many pairs are computed as built-in aggregates; beyond it per-task moment matrices are added up.
 PAIRS_IN_AGGREGATE = 30
 
+#: Kendall: points per bucket aimed at, and grid cells per feature handled by one call.
+BUCKET_POINTS = 1_000_000
+GRID_CELLS = 2_000_000
+
 
 def _x(column: str) -> Column:
     return F.col(f"`{column}`").cast("double")
@@ -214,24 +220,70 @@ def signed_pairs(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return total
 
 
-def _kendall(pairs: DataFrame, slices: int) -> DataFrame:
-    """Tau-b without listing pairs.
+def _kendall(pairs: DataFrame, slices: int, *, grid_cells: int = GRID_CELLS) -> DataFrame:
+    """Tau-b without listing pairs: signed pairs over the square root of the untied pairs of either side."""
+    points = settle(pairs.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+    def tied(axis: str) -> DataFrame:
+        t = F.col("t").cast("double")
+        runs = points.groupBy("feature", axis).agg(F.sum("n").alias("t"))
+        return runs.groupBy("feature").agg(
+            F.sum(t * (t - 1) / 2).alias(f"ties_{axis}"), F.sum(t).alias("rows")
+        )
+
+    signed = union_all(_signed_parts(points, slices, grid_cells)).groupBy("feature").agg(F.sum("s").alias("s"))
+    ties = tied("x").join(tied("y").drop("rows"), "feature")
+    all_pairs = F.col("rows") * (F.col("rows") - 1) / 2
+    norm = F.sqrt((all_pairs - F.col("ties_x")) * (all_pairs - F.col("ties_y")))
+    return signed.join(ties, "feature").select("feature", F.try_divide(F.col("s"), norm).alias("corr"))
+
 
-    Equal (x, y) points are counted first. Each axis is cut at approximate quantiles; a cut value is a bucket of
-    its own and the open range between two cuts is another, so buckets stay small unless they hold one value.
-    Every pair then falls in one of three cases, each a call of :func:`signed_pairs`:
+def _signed_parts(points: DataFrame, slices: int, grid_cells: int) -> list[DataFrame]:
+    """Tables ``feature, s`` whose sum per feature is the signed pairs of ``feature, x, y, n``.
 
-    * different x and y buckets: from the grid of bucket counts, at most (2·slices)² cells per feature;
-    * same x bucket: inside the bucket, with the exact x and y;
-    * same y bucket only: inside that bucket, with the x bucket standing in for x.
+    Each axis is cut at approximate quantiles; a cut value is a bucket of its own and the open range between two
+    cuts is another, so a bucket stays small unless it holds one value. Every pair is of one kind:
+
+    * same x bucket: counted inside the bucket, with the exact x and y;
+    * same y bucket only: counted inside that bucket, with the x bucket standing in for x;
+    * both buckets differ: the bucket counts form a grid, which is again a set of weighted points. It is small
+      enough for one call per feature, or it is cut once more, more coarsely.
 
     One-value buckets hold ties only and are skipped, so a value shared by most rows costs nothing.
     """
-    points = settle(pairs.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-    cuts = F.array(*[F.lit(k / slices) for k in range(1, slices)]) if slices > 1 else F.array(F.lit(0.5))
+    parts = []
+    count = max(points.count(), 1)
+    cuts = max(slices, math.ceil(count / BUCKET_POINTS))
+    while True:
+        located = settle(_locate(points, cuts))
+        parts.append(
+            located.where("bx % 2 = 0").groupBy("feature", "bx")
+            .applyInPandas(_signed_score("x", "y"), "feature string, s double")
+        )
+        parts.append(
+            located.where("by % 2 = 0").groupBy("feature", "by", "bx", "y")
+            .agg(F.sum("n").alias("n")).groupBy("feature", "by")
+            .applyInPandas(_signed_score("bx", "y"), "feature string, s double")
+        )
+        grid = settle(located.groupBy("feature", "bx", "by").agg(F.sum("n").alias("n")))
+        if cuts <= 2 or largest_group(grid, ["feature"]) <= grid_cells:
+            parts.append(
+                grid.groupBy("feature").applyInPandas(_signed_score("bx", "by"), "feature string, s double")
+            )
+            return parts
+        points = grid.select(
+            "feature", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "n"
+        )
+        cuts = max(2, min(cuts // 2, max(slices, math.ceil(grid.count() / BUCKET_POINTS))))
+
+
+def _locate(points: DataFrame, slices: int) -> DataFrame:
+    """Add the bucket numbers ``bx`` and ``by``: odd for a cut value, even for the range between two cuts."""
+    shares = F.array(*[F.lit(k / slices) for k in range(1, max(slices, 2))])
+    accuracy = F.lit(slices * 20)
     bounds = points.groupBy("feature").agg(
-        F.percentile_approx("x", cuts, F.lit(slices * 20)).alias("x"),
-        F.percentile_approx("y", cuts, F.lit(slices * 20)).alias("y"),
+        F.percentile_approx("x", shares, accuracy).alias("x"),
+        F.percentile_approx("y", shares, accuracy).alias("y"),
     )
     # One row of cut values per feature.
     edges = {r.feature: (np.unique(r.x), np.unique(r.y)) for r in bounds.collect()}
@@ -249,45 +301,16 @@ def _kendall(pairs: DataFrame, slices: int) -> DataFrame:
                     codes[axis, at] = 2 * below + exact
             yield batch.assign(bx=codes[0], by=codes[1])
 
-    located = settle(
-        points.mapInPandas(locate, "feature string, x double, y double, n long, bx long, by long")
-    )
+    return points.mapInPandas(locate, "feature string, x double, y double, n long, bx long, by long")
 
-    def score(x: str, y: str):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            s = signed_pairs(group[x].to_numpy(), group[y].to_numpy(), group["n"].to_numpy())
-            return pd.DataFrame({"feature": [group["feature"].iloc[0]], "s": [s]})
 
-        return run
+def _signed_score(x: str, y: str):
+    """:func:`signed_pairs` for one group of points."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        s = signed_pairs(group[x].to_numpy(), group[y].to_numpy(), group["n"].to_numpy())
+        return pd.DataFrame({"feature": [group["feature"].iloc[0]], "s": [s]})
 
-    grid = located.groupBy("feature", "bx", "by").agg(F.sum("n").alias("n"))
-    parts = (
-        grid.groupBy("feature").applyInPandas(score("bx", "by"), "feature string, s double")
-        .unionAll(
-            located.where("bx % 2 = 0").groupBy("feature", "bx")
-            .applyInPandas(score("x", "y"), "feature string, s double")
-        )
-        .unionAll(
-            located.where("by % 2 = 0").groupBy("feature", "by", "bx", "y")
-            .agg(F.sum("n").alias("n")).groupBy("feature", "by")
-            .applyInPandas(score("bx", "y"), "feature string, s double")
-        )
-    )
-
-    def tied(axis: str) -> DataFrame:
-        t = F.col("t").cast("double")
-        runs = points.groupBy("feature", axis).agg(F.sum("n").alias("t"))
-        return runs.groupBy("feature").agg(
-            F.sum(t * (t - 1) / 2).alias(f"ties_{axis}"), F.sum(t).alias("rows")
-        )
-
-    ties = tied("x").join(tied("y").drop("rows"), "feature")
-    all_pairs = F.col("rows") * (F.col("rows") - 1) / 2
-    norm = F.sqrt((all_pairs - F.col("ties_x")) * (all_pairs - F.col("ties_y")))
-    return (
-        parts.groupBy("feature").agg(F.sum("s").alias("s")).join(ties, "feature")
-        .select("feature", F.try_divide(F.col("s"), norm).alias("corr"))
-    )
+    return run
 
 
 def select_features(

@@ -12,6 +12,7 @@ from paneloom.operators.filters import removed_rows
 from paneloom.operators.joins import previous_period_flag
 from paneloom.operators.scale import scale_by_group
 from paneloom.operators.ranks import rank_by_group
+from paneloom.operators.spread import slices_of
 from paneloom.operators.summary import conditional_counts, periods_with
 from paneloom.operators.topk import top_per_group
 from paneloom.plans import league
@@ -220,6 +221,8 @@ def manifest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page(rows: DataFrame, keys: list, header: list[str], cells: list, *, table_id: str | None, top: str = "") -> DataFrame:
     """Pages of at most a few hundred rows each: ``keys`` must bound the rows per page."""
+    names = rows.select(*keys).columns
+
     def escaped(c):
         return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -230,7 +233,9 @@ def _page(rows: DataFrame, keys: list, header: list[str], cells: list, *, table_
     )
     head = "<tr>" + "".join(f"<th>{h}</th>" for h in header) + "</tr>"
     opening = f'<table id="{table_id}">' if table_id else "<table>"
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("body"))
+    # Spread by page: parsing costs time rather than bytes, so the pages should not share a few partitions.
+    spread = rows.select(*keys, row.alias("_row")).repartition(slices_of(rows), *names)
+    listed = spread.groupBy(*names).agg(F.sort_array(F.collect_list("_row")).alias("body"))
     return listed.withColumn(
         "html",
         F.concat(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,92 +13,116 @@ from pyspark.sql import functions as F
 ROWS = "table_id string, row_ord int, names array<string>, cells array<string>"
 
 
-class _Tables(HTMLParser):
-    """Collects every table of a page as (id, rows); a cell is repeated over its column and row span."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[tuple[str | None, list[list[str | None]]]] = []
-        self._open: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        if tag == "table":
-            self._open.append({"id": given.get("id"), "rows": [], "row": None, "cell": None, "held": {}, "next": {}})
-            self.tables.append((given.get("id"), self._open[-1]["rows"]))
-        elif self._open and tag == "tr":
-            self._end_row()
-            self._open[-1]["row"] = []
-        elif self._open and tag in ("td", "th"):
-            self._end_cell()
-            table = self._open[-1]
-            if table["row"] is None:
-                table["row"] = []
-            table["cell"] = ([], _span(given.get("colspan")), _span(given.get("rowspan")))
-        elif tag == "br":
-            self.handle_data(" ")
+#: Comments, scripts and the tags that shape a table; all other tags only separate pieces of text.
+_TOKEN = re.compile(
+    r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)(table|tr|td|th|br)\b((?:[^>"']|"[^"]*"|'[^']*')*+)>""",
+    re.IGNORECASE | re.DOTALL,
+)
+_TAG = re.compile(r"<[^>]*>")
+_ATTRIBUTE = re.compile(r"""\b(id|colspan|rowspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
-    def handle_endtag(self, tag):
-        if not self._open:
-            return
-        if tag in ("td", "th"):
-            self._end_cell()
-        elif tag == "tr":
-            self._end_row()
-        elif tag == "table":
-            self._end_row()
-            self._open.pop()
-
-    def handle_data(self, data):
-        if self._open and self._open[-1]["cell"] is not None:
-            self._open[-1]["cell"][0].append(data)
-
-    def _fill(self):
-        """Repeat the cells that reach down from earlier rows."""
-        table = self._open[-1]
-        row = table["row"]
-        while len(row) in table["held"]:
-            text, more = table["held"].pop(len(row))
-            if more > 1:
-                table["next"][len(row)] = (text, more - 1)
-            row.append(text)
 
-    def _end_cell(self):
-        table = self._open[-1]
-        if table["cell"] is None:
+def _attributes(text: str) -> dict[str, str]:
+    return {n.lower(): a or b or c for n, a, b, c in _ATTRIBUTE.findall(text)} if text else {}
+
+
+def _span(value: str | None) -> int:
+    return int(value) if value and value.isdigit() and int(value) > 0 else 1
+
+
+class _Grid:
+    """Rows of one table; a cell is repeated over its column and row span."""
+
+    def __init__(self, table_id: str | None):
+        self.table_id = table_id
+        self.rows: list[list[str | None]] = []
+        self.row: list[str | None] | None = None
+        self.text: list[str] | None = None
+        self.span = (1, 1)
+        # Cells reaching down: column -> (text, rows left), for this row and for the next one.
+        self.held: dict[int, tuple[str | None, int]] = {}
+        self.next: dict[int, tuple[str | None, int]] = {}
+
+    def start_cell(self, attributes: str) -> None:
+        self.end_cell()
+        if self.row is None:
+            self.row = []
+        given = _attributes(attributes)
+        self.span = _span(given.get("colspan")), _span(given.get("rowspan"))
+        self.text = []
+
+    def end_cell(self) -> None:
+        if self.text is None:
             return
-        parts, across, down = table["cell"]
-        text = " ".join("".join(parts).split()) or None
-        table["cell"] = None
-        self._fill()
+        text = "".join(self.text)
+        if "<" in text:
+            text = _TAG.sub("", text)
+        if "&" in text:
+            text = unescape(text)
+        text = " ".join(text.split()) or None
+        self.text = None
+        self.fill()
+        across, down = self.span
         for _ in range(across):
             if down > 1:
-                table["next"][len(table["row"])] = (text, down - 1)
-            table["row"].append(text)
+                self.next[len(self.row)] = (text, down - 1)
+            self.row.append(text)
 
-    def _end_row(self):
-        self._end_cell()
-        table = self._open[-1]
-        if table["row"] is None:
-            return
-        self._fill()
-        table["rows"].append(table["row"])
-        table["row"] = None
-        table["held"], table["next"] = table["next"], {}
+    def fill(self) -> None:
+        while len(self.row) in self.held:
+            text, more = self.held.pop(len(self.row))
+            if more > 1:
+                self.next[len(self.row)] = (text, more - 1)
+            self.row.append(text)
 
+    def start_row(self) -> None:
+        self.end_row()
+        self.row = []
 
-def _span(value: str | None) -> int:
-    return int(value) if value and value.isdigit() and int(value) > 0 else 1
+    def end_row(self) -> None:
+        self.end_cell()
+        if self.row is None:
+            return
+        self.fill()
+        self.rows.append(self.row)
+        self.row = None
+        self.held, self.next = self.next, {}
 
 
 def parse_tables(html: str | None) -> list[tuple[str | None, list[list[str | None]]]]:
-    """Every table of a page in document order."""
-    parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
-    while parser._open:
-        parser.handle_endtag("table")
-    return parser.tables
+    """Every table of a page as (id, rows), in document order."""
+    grids: list[_Grid] = []
+    nested: list[_Grid] = []
+    last = 0
+    for token in _TOKEN.finditer(html or ""):
+        grid = nested[-1] if nested else None
+        if grid is not None and grid.text is not None:
+            grid.text.append(html[last : token.start()])
+        last = token.end()
+        _, closing, tag, attributes = token.groups()
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if tag == "table" and not closing:
+            grids.append(_Grid(_attributes(attributes).get("id")))
+            nested.append(grids[-1])
+        elif grid is None:
+            continue
+        elif tag == "table":
+            grid.end_row()
+            nested.pop()
+        elif tag == "tr":
+            grid.end_row() if closing else grid.start_row()
+        elif tag == "br":
+            if grid.text is not None:
+                grid.text.append(" ")
+        elif closing:
+            grid.end_cell()
+        else:
+            grid.start_cell(attributes)
+    for grid in nested:
+        grid.end_row()
+    return [(g.table_id, g.rows) for g in grids]
 
 
 def html_tables(

@@ -78,6 +78,12 @@ def test_kendall(table, data, slices):
     assert set(got) == {"a", "b", "near"}
 
 
+def test_kendall_cuts_a_large_grid_again(table, data):
+    pairs = c._pairs_with_target(table, ["a", "b"], "y")
+    for r in c._kendall(pairs, 16, grid_cells=30).collect():
+        assert r["corr"] == pytest.approx(tau_b(data[r.feature].to_numpy(), data.y.to_numpy()), abs=1e-12)
+
+
 @pytest.mark.parametrize("group_rows", [10**6, 0])
 def test_spearman(table, data, group_rows):
     got = {r.feature: r.abs_corr for r in c.target_correlations(table, ["a", "b"], "y", "spearman", group_rows=group_rows).collect()}
