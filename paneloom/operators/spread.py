@@ -27,9 +27,9 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark a settled table for broadcast when its measured size allows it."""
-    small = df.count() * max(len(df.columns), 1) <= cells
+    small = df.count() * max(len(df.columns), 1) <= BROADCAST_CELLS
     return F.broadcast(df) if small else df
 
 

@@ -204,7 +204,8 @@ def train(
     validation, tested = cross_validate(
         trainval, features.model, regressor, target=target, key=key, test=test
     )
-    held_out = hold_out_periods(past, features.model, regressor, target=target, period=period)
+    # Read several times: for the winners, for their ranks and by the caller.
+    held_out = settle(hold_out_periods(past, features.model, regressor, target=target, period=period))
     return Training(
         features=features,
         model=regressor.fit(past, features.model, target),
@@ -232,6 +233,7 @@ def cross_validate(
     All fits share their passes over the data. With ``test`` also the errors of a fit on all of ``data`` there.
     """
     folded, names = assign_folds(data, key, splits, repeats=repeats, seed=seed)
+    folded = settle(folded)
     model = regressor.fit(folded, features, target, fold_cols=names)
     per_set = [
         F.struct(
