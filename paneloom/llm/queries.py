@@ -11,6 +11,7 @@ from paneloom.llm.common import table
 from paneloom.llm.mixing import mix
 from paneloom.llm.quality_rules import quality_rules
 from paneloom.llm.sharding import shard_rows
+from paneloom.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +48,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, links at three differing bits or fewer."""
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
