@@ -49,3 +49,8 @@ def runs_of(hashes: Column, length: int) -> Column:
 def non_null_key(column: Column) -> Column:
     """A string key that is never null: a null and any string stay different."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send texts to Python in batches of at most ``rows`` rows, so that long ones do not pile up there."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paneloom.llm.common import table
 from paneloom.llm.mixing import mix
+from paneloom.llm.pieces import encode_texts, read_model, token_count
 from paneloom.llm.quality_rules import quality_rules
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
@@ -19,6 +20,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def piece_model() -> str:
+    """Where the public SentencePiece model lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -54,3 +62,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at three differing bits or fewer."""
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of packed ids and decoded texts."""
+    return encoded.select(
+        "doc_id", token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return digests(encode_texts(table(spark, sf_dir, "documents"), read_model(piece_model())))
