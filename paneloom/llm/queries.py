@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import table
+from paneloom.llm.html_text import extract_text
 from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
 from paneloom.llm.quality_rules import quality_rules
@@ -76,3 +77,9 @@ def digests(encoded: DataFrame) -> DataFrame:
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return digests(encode_texts(table(spark, sf_dir, "documents"), read_model(piece_model())))
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
