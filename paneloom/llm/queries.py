@@ -11,6 +11,7 @@ from paneloom.llm.common import table
 from paneloom.llm.html_text import extract_text
 from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
+from paneloom.llm.quality_model import quality_scores
 from paneloom.llm.quality_rules import quality_rules
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
@@ -83,3 +84,9 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from labels outside the held-out third."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
