@@ -13,6 +13,7 @@ from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
 from paneloom.llm.quality_model import quality_scores
 from paneloom.llm.quality_rules import quality_rules
+from paneloom.llm.secrets import KINDS, find_secrets, joined
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
 
@@ -90,3 +91,19 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learned from labels outside the held-out third."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def secret_columns(found: DataFrame) -> DataFrame:
+    """Counts, the digest of the base spans, and all spans."""
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in KINDS]
+    every = F.sort_array(F.concat("base", "added"))
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(every).alias("spans"),
+    )
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; the Markov models are trained on what the patterns caught and left."""
+    return secret_columns(find_secrets(table(spark, sf_dir, "documents")))
