@@ -16,6 +16,7 @@ from paneloom.llm.quality_rules import quality_rules
 from paneloom.llm.secrets import KINDS, find_secrets, joined
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
+from paneloom.llm.spotsigs import compare_with_next, printed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +108,19 @@ def secret_columns(found: DataFrame) -> DataFrame:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; the Markov models are trained on what the patterns caught and left."""
     return secret_columns(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def spot_columns(compared: DataFrame) -> DataFrame:
+    """Lengths, digests and printed fingerprints of compared texts."""
+    return compared.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        printed(F.col("signatures")).alias("fingerprint"),
+        printed(F.col("edited_signatures")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how alike the neighbours are."""
+    return spot_columns(compare_with_next(table(spark, sf_dir, "documents")))
