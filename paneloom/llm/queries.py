@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paneloom.llm.common import table
 from paneloom.llm.html_text import extract_text
+from paneloom.llm.line_dedup import dedup_lines
 from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
 from paneloom.llm.quality_model import quality_scores
@@ -124,3 +125,10 @@ def spot_columns(compared: DataFrame) -> DataFrame:
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike the neighbours are."""
     return spot_columns(compare_with_next(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are near-duplicates of an earlier line of any document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
