@@ -26,6 +26,9 @@ from paneloom.operators.spread import attach, settle
 #: Characters that count as symbols, as a regular expression.
 SYMBOLS = "[#*$%&|<>]"
 
+#: Share of a stratum's good documents that all rules together may reject, and the chance that they reject more.
+FALSE_REJECTION, ERROR = 0.02, 0.05
+
 #: Words in the windows whose repetition counts.
 WINDOW = 8
 
@@ -133,8 +136,8 @@ def certified_cutoffs(
     label_id: str = "doc_id",
     label_col: str = "quality",
     grid: dict[str, list[float]] = GRID,
-    false_rejection: float = 0.02,
-    error: float = 0.05,
+    false_rejection: float = FALSE_REJECTION,
+    error: float = ERROR,
 ) -> DataFrame:
     """One row per stratum with a column for each rule: its strictest certified cutoff, or null.
 
@@ -177,7 +180,7 @@ def judge(measures: DataFrame, cutoffs: DataFrame, grid: dict[str, list[float]]
 
 def quality_rules(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
-    label_col: str = "quality", false_rejection: float = 0.02, error: float = 0.05,
+    label_col: str = "quality", false_rejection: float = FALSE_REJECTION, error: float = ERROR,
 ) -> DataFrame:
     """Measures, rates, cutoffs and verdict of every row of ``docs``.
 

@@ -13,7 +13,7 @@ from paneloom.llm.line_dedup import dedup_lines
 from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
 from paneloom.llm.quality_model import quality_scores
-from paneloom.llm.quality_rules import quality_rules
+from paneloom.llm.quality_rules import ERROR, FALSE_REJECTION, GRID, quality_rules
 from paneloom.llm.secrets import KINDS, find_secrets, joined
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
@@ -37,6 +37,66 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def rules_sql() -> str:
+    """The SQL of the quality rules: measures, exact binomial tails and strictest certified cutoffs per language."""
+    rules, allowed = list(GRID), FALSE_REJECTION / len(GRID)
+    cells = [(r, i, c) for r in rules for i, c in enumerate(GRID[r])]
+    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, _, c in cells)
+    rates = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS rate FROM measured" for r in rules)
+    return f"""
+WITH texts AS (
+  SELECT doc_id, '=' || lang AS lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, words[i:i + 7] AS gram FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM texts WHERE len(words) >= 8)
+), twice AS (
+  SELECT doc_id, i FROM grams JOIN (SELECT doc_id, gram FROM grams GROUP BY ALL HAVING count(*) > 1) USING (doc_id, gram)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + step) AS n FROM twice, range(8) AS steps(step) GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, coalesce(lang, '') AS stratum, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '[!?]')) AS n_marks
+  FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id
+), measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS symbol_rate,
+    coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_rate,
+    coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_rate,
+    coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0) AS upper_rate,
+    coalesce(n_marks::DOUBLE / nullif(n_words, 0), 0) AS mark_rate
+  FROM counted
+), rates AS ({rates}),
+good AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), tests AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (rate > cutoff) AS k
+  FROM rates JOIN good USING (doc_id) JOIN measured m USING (doc_id, stratum)
+  JOIN (VALUES {grid}) AS g(rule, cutoff) USING (rule)
+  WHERE NOT base_failed GROUP BY ALL
+), tails AS (
+  SELECT stratum, rule, cutoff, CASE WHEN k >= n * {allowed} THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({allowed}) + (n - i) * ln(1 - {allowed})))
+    FROM range(k + 1) AS r(i)) END AS p
+  FROM tests
+), cutoffs AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails
+  WHERE p <= {ERROR} / ((SELECT count(DISTINCT stratum) FROM measured) * {len(cells)}) GROUP BY ALL
+), rejected AS (
+  SELECT DISTINCT doc_id FROM rates JOIN cutoffs USING (stratum, rule) WHERE rate > cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM measured
+"""
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of every document; cutoffs certified on the labels, per language."""
@@ -132,3 +192,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are near-duplicates of an earlier line of any document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+ORACLES["op8_quality_rules"] = rules_sql()
