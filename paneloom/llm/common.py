@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paneloom.operators.spread import settle
+
+#: Rows x columns up to which a table that grows with the corpus is broadcast: a few MB.
+BROADCAST_CELLS = 200_000
+
 #: The six ASCII white-space characters that separate words.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -54,3 +59,10 @@ def non_null_key(column: Column) -> Column:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Send texts to Python in batches of at most ``rows`` rows, so that long ones do not pile up there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join a table with at most one row per key: settled, counted, and broadcast only when it is small."""
+    known = settle(summary)
+    small = known.count() * len(known.columns) <= BROADCAST_CELLS
+    return df.join(F.broadcast(known) if small else known, list(keys), how)

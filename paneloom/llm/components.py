@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.operators.spread import attach, settle
+from paneloom.llm.common import attach
+from paneloom.operators.spread import settle
 
 
 def _state(links: DataFrame) -> tuple:

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paneloom.llm.common import attach
 from paneloom.llm.components import components
-from paneloom.operators.spread import attach, settle, slices_of
+from paneloom.operators.spread import settle, slices_of
 
 BITS = 64
 
