@@ -1,0 +1,126 @@
+"""Line deduplication on all character shingles: the tests from before sets were sampled, and lines that samples confuse."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from paneloom.llm.line_dedup import SHINGLE, dedup_lines, line_components, lines_of
+from tests.llm.test_components import plain
+
+SCHEMA = "doc_id long, text string, id string, line int, tie string"
+
+
+def shingles(line, k=SHINGLE):
+    return {line[i:i + k] for i in range(len(line) - k + 1)} or {line}
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def blank(line):
+    return not line.strip(" \t\n\x0b\f\r")
+
+
+def brute(rows):
+    """Texts without near-duplicate lines; rows are distinct in (id, text) and ids are distinct."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if not blank(x)})
+    root = plain([(a, b) for i, a in enumerate(lines) for b in lines[i + 1:] if alike(a, b)])
+    seen, out = set(), {}
+    for i, text in order:
+        kept = []
+        for line in (text or "").split("\n"):
+            if blank(line) or root.get(line, line) not in seen:
+                kept.append(line)
+                if not blank(line):
+                    seen.add(root.get(line, line))
+        out[i] = None if text is None else "\n".join(kept)
+    return out
+
+
+def corpus(seed, n=60):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeéü😀") for _ in range(rng.randint(2, 9)))
+    bases = [" ".join(word() for _ in range(rng.randint(8, 40))) for _ in range(40)]
+    rows = []
+    for i in range(n):
+        lines = []
+        for _ in range(rng.randint(0, 8)):
+            line = rng.choice(bases + ["", " ", "short", "tiny", "tiny!"])
+            if line and rng.random() < 0.5:
+                at = rng.randrange(len(line))
+                line = line[:at] + rng.choice("xyz") + line[at + rng.randint(0, 1):]
+            lines.append(line)
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
+    rows = [*corpus(seed), (900, None), (901, ""), (902, "\n \n"), (903, "long " * 40_000), (None, "no id\nno id\nshort")]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA)
+    found = dedup_lines(docs, counts=True)
+    assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+    want = brute(rows)
+    got = found.collect()
+    assert {r.doc_id: r.text for r in got} == want
+    for r in got:
+        before = dict(rows)[r.doc_id]
+        assert r.n_lines == (0 if before is None else len(before.split("\n")))
+        lost = (before or "").count("\n") - (r.text or "").count("\n")
+        assert r.n_dropped == lost or (r.text == "" and r.n_dropped == lost + 1)
+
+
+def test_repeated_rows_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a line\nb", "x", 1, "y")] * 2 + [(2, "a line", "x", 1, "y")], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in dedup_lines(docs).collect()) == [(1, "a line\nb"), (1, "a line\nb"), (2, "")]
+    assert dedup_lines(docs.limit(0)).columns == docs.columns
+    assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity just above 0.8 are found by the bands."""
+    rng = random.Random(3)
+    rows, pairs = [], []
+    while len(pairs) < 300:
+        base = "".join(rng.choice("abcdefghij klm") for _ in range(330))
+        other = list(base)
+        for at in range(40, 330, 110):
+            other[at] = "#"
+        other = "".join(other)
+        a, b = shingles(base), shingles(other)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), base), (len(rows) + 1, other)]
+    lines = lines_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    root = {r.id: r.root for r in line_components(lines.select("id", "line")).collect()}
+    ids = {r.doc_id: r.id for r in lines.select("doc_id", "id").collect()}
+    hit = sum(root.get(ids[a], a) == root.get(ids[b], b) for a, b in pairs)
+    assert hit >= 0.98 * len(pairs)
+
+
+def test_one_line_of_a_large_group_stays(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ij") for _ in range(400))
+    docs = spark.range(400).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.substring(F.lit(base), F.lit(1), (F.col("id") % 380).cast("int")), F.lit("#"), F.col("id").cast("string"),
+                 F.substring(F.lit(base), (F.col("id") % 380 + 1).cast("int"), F.lit(400))).alias("text"),
+    )
+    assert dedup_lines(docs).where("text <> ''").count() == 1
+
+
+def test_numbered_lines_are_judged_on_all_shingles(spark):
+    rng = random.Random(5)
+    numbers = rng.sample(range(10**6), 400)
+    rows = [(i, f"Invoice 20260000{n:06d}") for i, n in enumerate(numbers)]
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    for i in range(400, 600, 2):
+        line = " ".join(rng.sample(words, 15))
+        at = rng.randrange(len(line))
+        rows += [(i, line), (i + 1, f"{line[:at]}#{line[at + 1:]}")]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in found.collect()} == brute(rows)
