@@ -167,7 +167,7 @@ def secret_columns(found: DataFrame) -> DataFrame:
 
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document; the Markov models are trained on what the patterns caught and left."""
+    """Secrets of every document; the Markov models are trained on short runs and a fixed labelled sample."""
     return secret_columns(find_secrets(table(spark, sf_dir, "documents")))
 
 

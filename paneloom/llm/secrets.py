@@ -3,21 +3,24 @@
 Three patterns (``KINDS``) give the base spans. Beyond them every long run of token characters is a candidate. Two
 first-order Markov models over characters, one of random strings and one of ordinary identifiers, are counted from
 labelled samples; a candidate whose log-likelihood ratio reaches ``evidence`` is a span of kind ``random``, unless it
-touches a base span. The labelled samples may be any table (text, random); :func:`own_samples` makes them from the
-scanned texts: what the patterns caught against the other candidates. Counts are over all samples; the two tables have a
-fixed size (pairs of 66 characters), which is all that reaches the driver.
+touches a base span. The labelled samples may be any table (text, random). By default, :func:`own_samples`, the ordinary
+ones are the texts' runs of token characters that are too short to be candidates, so no token is judged by its own pairs,
+and ``ORDINARY``, a few longer ones; the random ones are ``random_tokens``, drawn from six alphabets. Counts are over all
+samples; the two tables have a fixed size (pairs of 67 states), which is all that reaches the driver.
 
 Positions count code points. They come from the lengths of the matches and of what lies between them, summed up by
 doubling, so a text with k matches costs k log k.
 
 A null text is an empty one and has no spans; repeated rows each get a row; an empty table gives an empty result;
-columns of the input other than the id and the text are ignored. Without samples both models are uniform, so no span
-is added.
+columns of the input other than the id and the text are ignored. If the given samples lack random or ordinary strings, no
+span is added.
 """
 
 from __future__ import annotations
 
 import math
+import random
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +39,27 @@ KINDS = [
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 STATES = len(ALPHABET) + 1
 
-#: A candidate: a whole run of 16 token characters or more.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}"
+#: A candidate: a whole run of ``LEAST`` token characters or more.
+LEAST = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{LEAST},}}"
+BETWEEN = "[^A-Za-z0-9+/_=.-]+"
+
+#: Long ordinary strings whose pairs short ones hardly have: rules, hosts, paths, names in code, dates and versions.
+ORDINARY = [c * 80 for c in "+/_=.-"] + """
+www.provider.com docs.provider.org/index.html /usr/local/share/doc/readme.txt src/main/java/util/List.java
+../images/logo-small.png //cdn.example.net/assets/js/main.min.js user_name_of_account MAX_BUFFER_SIZE get_value_by_key
+session_identifier_count content-type-options data-main-container getElementById readFileAsText HttpServletRequest
+2024-01-31T12:45:00 2019-12-05_backup.tar.gz version-1.2.3 release-2.10.0-rc1 1.000.000.000 1234567890123456 192.168.1.254
+01/02/2023-28/02/2023 page=1 name=value first.last.name state-of-the-art and/or 3.14159265358979 .............. ---+---+---
+""".split() + [f"{host}{n}.provider.net" for host in ("mail", "web", "db", "node") for n in range(10)]
+
+#: The label of these in the samples, and their least weight, as a part of that of the texts' own strings.
+FIXED, SHARE = 2, 0.1
+
+#: Alphabets of the random tokens of the labelled sample, and how many of which length there are of each.
+LETTERS = string.ascii_letters + string.digits
+RANDOM = [LETTERS, LETTERS + "+/", LETTERS + "-_", "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567"]
+TOKENS, TOKEN = 400, 32
 
 #: Log-likelihood ratio from which a candidate counts: odds of a million to one.
 EVIDENCE = math.log(1e6)
@@ -115,12 +137,22 @@ def free_candidates() -> Column:
     return F.filter("candidates", free)
 
 
-def own_samples(scanned: DataFrame) -> DataFrame:
-    """(text, random): what the patterns caught, and the candidates that touch none of it."""
-    caught = F.concat(*[F.transform(F.col(kind), lambda s: F.struct(s["value"].alias("text"), F.lit(1).alias("random")))
-                        for kind, *_ in KINDS])
-    other = F.transform("free", lambda s: F.struct(s["value"].alias("text"), F.lit(0).alias("random")))
-    return scanned.select(F.explode(F.concat(caught, other)).alias("s")).select("s.text", "s.random")
+def random_tokens() -> list[str]:
+    """The random strings of the labelled sample; always the same ones."""
+    rng = random.Random(5)
+    return ["".join(rng.choice(letters) for _ in range(TOKEN)) for letters in RANDOM for _ in range(TOKENS)]
+
+
+def own_samples(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(text, random): the fixed samples, and the short runs of the texts outside assigned secrets as ordinary strings."""
+    _, assigned, *_ = KINDS[0]
+    rest = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), assigned, " ")
+    short = docs.select(F.explode(F.split(rest, BETWEEN)).alias("text")).where(F.length("text") < LEAST)
+    samples = short.select("text", F.lit(0).alias("random"))
+    for kind, fixed in ((FIXED, ORDINARY), (1, random_tokens())):
+        rows = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(fixed)), " ")).alias("text"))
+        samples = samples.unionByName(rows.select("text", F.lit(kind).alias("random")))
+    return samples
 
 
 def code(character: Column) -> Column:
@@ -138,14 +170,21 @@ def pairs(token: Column) -> Column:
 
 
 def ratios(samples: DataFrame) -> list[float]:
-    """Log of P(next | character) among random strings over the same among ordinary ones, for all pairs in order."""
+    """Log of P(next | character) among random strings over the same among ordinary ones, for all pairs in order.
+
+    ``random`` is 1 or 0, or ``FIXED`` for ordinary strings that weigh at least ``SHARE`` of the others after any character.
+    """
     tokens = samples.where("text IS NOT NULL AND text <> '' AND random IS NOT NULL").groupBy("text", "random").count()
     counts = tokens.select("random", "count", F.explode(pairs(F.col("text"))).alias("pair")).groupBy(
         "random", "pair"
     ).agg(F.sum("count").alias("n"))
-    cells = [[0.0] * STATES * STATES for _ in range(2)]
-    for random, pair, n in counts.collect():  # at most 2 x STATES x STATES rows
-        cells[random][pair] = float(n)
+    *cells, fixed = [[0.0] * STATES * STATES for _ in range(3)]
+    for kind, pair, n in counts.collect():  # at most 3 x STATES x STATES rows
+        (*cells, fixed)[kind][pair] = float(n)
+    for row in (slice(s * STATES, (s + 1) * STATES) for s in range(STATES)):
+        if any(fixed[row]):
+            weight = max(1.0, SHARE * sum(cells[0][row]) / sum(fixed[row]))
+            cells[0][row] = [n + weight * f for n, f in zip(cells[0][row], fixed[row])]
     if not any(cells[0]) or not any(cells[1]):
         return [0.0] * STATES * STATES
     followers = [sum(cells[0][b::STATES]) + UNSEEN for b in range(STATES)]
@@ -182,9 +221,10 @@ def find_secrets(
 ) -> DataFrame:
     """(doc_id, assign, access, hex, base, added) of every row; all spans as arrays of structs.
 
-    The texts are read once; what is found in them is kept in the shared folder for training and scoring.
+    What is found in the texts is kept in the shared folder for scoring; without ``samples`` the texts are read a second
+    time for the short runs.
     """
     scanned = scan(docs, id_col=id_col, text_col=text_col).withColumn("base", base_spans())
     scanned = settle(scanned.withColumn("free", free_candidates()).drop("candidates"))
-    table = ratios(own_samples(scanned) if samples is None else samples)
+    table = ratios(own_samples(docs, text_col=text_col) if samples is None else samples)
     return with_random(scanned, table, evidence).drop("free")

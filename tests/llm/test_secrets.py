@@ -105,3 +105,19 @@ def test_added_spans_do_not_touch_base_ones(spark):
     docs = spark.createDataFrame([(1, "token=Zx81kQp0LmTr55vBnW2yAa", "b", 1)], SCHEMA)
     samples = spark.createDataFrame([("Zx81kQp0LmTr55vBnW2yAa", 1), ("ordinary_words", 0)], "text string, random int")
     assert secret_columns(find_secrets(docs, samples)).first().spans == "assign:0:28"
+
+
+def test_default_samples_find_planted_strings(spark):
+    """However many random tokens the texts hold, the ordinary model does not learn them; ordinary strings stay."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    words = sorted({w for t in given for w in (t or "").split() if w.isascii() and w.isalpha() and len(w) < 16})
+    names = ["_".join(rng.sample(words, 4)) for _ in range(200)] + ["=" * 60, "-" * 40, "mail4.example.com"]
+    texts = [(i, t) for i, t in enumerate(given)]
+    plants = [(10_000 + i, "see " + "".join(rng.choice(letters) for _ in range(28))) for i in range(1000)]
+    ordinary = [(20_000 + i, f"see {name}") for i, name in enumerate(names)]
+    docs = spark.createDataFrame([(i, t, "b", 1) for i, t in texts + plants + ordinary], SCHEMA)
+    got = {r.doc_id: r.spans for r in secret_columns(find_secrets(docs)).collect()}
+    assert sum(got[i] == "random:4:32" for i, _ in plants) >= 970
+    assert sum("random" in got[i] for i, _ in ordinary) <= 4
