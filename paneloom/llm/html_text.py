@@ -2,10 +2,11 @@
 
 The standard library's parser streams a page's events. They become lines: a line is the text between two block tags,
 with the number of tags since the line before. Lines inside elements that are never part of an article (scripts, menus,
-forms, ...; by tag, role, or a word of class or id) are left out. The ratio of text to tags of the other lines is
-smoothed with a Gaussian, and lines at or above the standard deviation of the smoothed ratios are content. The content
-region is the deepest container (article, main, section, div, cell, body) that holds most of the content's text. Of an
-article or main element every line is taken; of another container the lines from the first to the last content line.
+forms, ...; by tag) are left out. So are those inside an element that a class, id or role names as such, unless it holds
+most of the text of the article or page around it, or an article, main or h1 element. The ratio of text to tags of the
+other lines is smoothed with a Gaussian, and lines at or above the standard deviation of the smoothed ratios are content.
+Every content line is kept, and all between the first and the last, but not lines at either end that are mostly links and
+reach the cut only by their neighbours; of an article or main element that holds content every line is taken.
 
 White space inside a line becomes one space, lines are trimmed, empty ones go, and the others are joined by one \\n in
 page order. Nothing else is dropped, and no length is capped. Null and empty pages have an empty text; text without tags
@@ -50,6 +51,9 @@ HINTS = frozenset(
     "subscribe taboola toolbar topbar warning widget".split()
 )
 
+#: Words that turn the hint at a token's end around.
+NEGATIONS = frozenset("has have hide hides no non not show shows with without".split())
+
 #: An end tag that a new block of the same kind implies.
 CLOSES = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"),
           "tr": ("tr",), "option": ("option",)}
@@ -63,53 +67,79 @@ def hinted(attrs: list[tuple[str, str | None]]) -> bool:
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value or "").lower())
             if any(w in HINTS or w.removesuffix("s") in HINTS for w in words):
                 return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
     return False
 
 
+def unseen(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+
 class Lines(HTMLParser):
-    """Collects lines (text, tags) and the containers that span them."""
+    """Collects lines (text, tags, container) and the containers that span them.
+
+    Text inside hinted elements is kept apart by element until ``finish`` knows how much each of them holds.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, most: float) -> None:
         super().__init__(convert_charrefs=True)
+        self.most = most
         self.lines: list[tuple[str, int, int]] = []  # text, tags, container
+        self.links: list[int] = []  # characters of each line that are in links
+        self.raw: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # lines as parts, tags, container
         self.nodes: list[list] = [["", -1, 0, None]]  # tag, parent, first line, line after the last
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, left out, container
+        self.hints: list[list] = [[-1, 0, False]]  # parent, scope, whether it is kept for what it holds
+        self.scopes = [0]  # characters of text on the page and in each article or main element
+        self.sizes = [0]  # characters of text in each hinted element
+        self.stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]  # tag, left out, container, hint, scope
         self.open: Counter[str] = Counter()
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, int, bool]] = []  # text, hinted element, whether it is in a link
         self.tags = 0
+        self.around: list[int] = [-1]  # scope around each scope
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts.clear()
-        if text:
-            self.lines.append((text, self.tags, self.stack[-1][2]))
+        parts, self.parts = self.parts, []
+        if any(text.strip() for text, _, _ in parts):
+            self.raw.append((parts, self.tags, self.stack[-1][2]))
             self.tags = 0
 
     def push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        _, out, node = self.stack[-1]
+        _, out, node, hint, scope = self.stack[-1]
         if tag in CONTAINERS:
-            self.nodes.append([tag, node, len(self.lines), None])
+            self.nodes.append([tag, node, len(self.raw), None])
             node = len(self.nodes) - 1
-        own = tag in BOILERPLATE or tag not in ("html", "body", *ARTICLES) and hinted(attrs)
-        if tag == "article" and hinted(attrs) and self.open["article"]:
-            own = True  # a comment inside an article, say
-        self.stack.append((tag, out or own, node))
+        root = tag in ("html", "body")
+        out = out or tag in BOILERPLATE or not root and tag not in ARTICLES and unseen(attrs)
+        # An article with a hint inside an article is a comment, say.
+        doubted = not root and (tag not in ARTICLES or tag == "article" and self.open["article"]) and hinted(attrs)
+        if not out:
+            if tag == "h1" or tag in ARTICLES and not doubted:
+                at = hint
+                while at and not self.hints[at][2]:
+                    self.hints[at][2] = True
+                    at = self.hints[at][0]
+            if doubted:
+                self.hints.append([hint, scope, tag == "h1"])
+                self.sizes.append(0)
+                hint = len(self.hints) - 1
+            elif tag in ARTICLES:
+                self.scopes.append(0)
+                self.around.append(scope)
+                scope = len(self.scopes) - 1
+        self.stack.append((tag, out, node, hint, scope))
         self.open[tag] += 1
 
     def pop(self) -> None:
-        tag, _, node = self.stack.pop()
+        tag, _, node, _, _ = self.stack.pop()
         self.open[tag] -= 1
         if tag in CONTAINERS:
-            self.nodes[node][3] = len(self.lines)
+            self.nodes[node][3] = len(self.raw)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
         if tag == "br":
-            self.parts.append(" ")
+            self.handle_text(" ")
         if tag in BLOCKS and tag not in ("html", "body"):
             self.imply(CLOSES.get(tag, ("p",)))
         if tag not in VOID:
@@ -136,7 +166,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         if tag == "br":
-            self.parts.append(" ")
+            self.handle_text(" ")
         if self.open[tag]:
             while self.stack[-1][0] != tag:
                 self.pop()
@@ -144,14 +174,42 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
-            self.parts.append(data)
+            self.handle_text(data)
+
+    def handle_text(self, data: str) -> None:
+        _, _, _, hint, scope = self.stack[-1]
+        self.parts.append((data, hint, self.open["a"] > 0))
+        size = sum(map(len, data.split()))
+        self.sizes[hint] += size
+        self.scopes[scope] += size
 
     def finish(self) -> None:
         self.close()
         self.flush()
         while len(self.stack) > 1:
             self.pop()
-        self.nodes[0][3] = len(self.lines)
+        self.nodes[0][3] = len(self.raw)
+        # Children come after their parents.
+        for at in range(len(self.sizes) - 1, 0, -1):
+            self.sizes[self.hints[at][0]] += self.sizes[at]
+        for at in range(len(self.scopes) - 1, 0, -1):
+            self.scopes[self.around[at]] += self.scopes[at]
+        left_out = [False]
+        for (parent, scope, kept), size in zip(self.hints[1:], self.sizes[1:]):
+            left_out.append(True)
+        places, tags = [], 0
+        for parts, more, node in self.raw:
+            places.append(len(self.lines))
+            tags += more
+            shown = [(data, link) for data, hint, link in parts if not left_out[hint]]
+            text = " ".join("".join(data for data, _ in shown).split())
+            if text:
+                self.links.append(sum(len("".join(data.split())) for data, link in shown if link))
+                self.lines.append((text, tags, node))
+                tags = 0
+        places.append(len(self.lines))
+        for node in self.nodes:
+            node[2:] = places[node[2]], places[node[3]]
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -165,49 +223,47 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, int]]) -> list[int]:
-    """Numbers of the lines whose smoothed text-to-tag ratio reaches the standard deviation of all."""
+def clustered(lines: list[tuple[str, int, int]]) -> tuple[list[float], float]:
+    """Smoothed text-to-tag ratios, and their standard deviation (at most their greatest) as the cut."""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    cut = min(spread, max(ratios))
+    return ratios, min(spread, max(ratios))
+
+
+def content_lines(lines: list[tuple[str, int, int]]) -> list[int]:
+    """Numbers of the lines whose smoothed text-to-tag ratio reaches the standard deviation of all."""
+    ratios, cut = clustered(lines)
     return [i for i, r in enumerate(ratios) if r >= cut]
 
 
+def without_menus(page: Lines, content: list[int]) -> list[int]:
+    """Content lines but for those that are mostly links and that only their neighbours lift above the cut."""
+    _, cut = clustered(page.lines)
+    return [
+        i for i in content
+        if 2 * page.links[i] <= len(page.lines[i][0]) or len(page.lines[i][0]) / max(1, page.lines[i][1]) >= cut
+    ] or content
+
+
 def main_text(html: str | None, *, most: float = 0.6) -> str:
-    """The main text of one page; a region must hold the share ``most`` of the content's text."""
-    page = Lines()
+    """The main text of one page; a hinted element with the share ``most`` of the text around it is not left out."""
+    page = Lines(most)
     page.feed(html or "")
     page.finish()
     lines, nodes = page.lines, page.nodes
     if not lines:
         return ""
-    content = content_lines(lines)
-    held = [0] * len(nodes)
-    for i in content:
-        held[lines[i][2]] += len(lines[i][0])
-    for node in range(len(nodes) - 1, 0, -1):  # children come after their parents
-        held[nodes[node][1]] += held[node]
-    enough = most * held[0]
-    best = max(n for n in range(len(nodes)) if held[n] >= enough)
-    while best and nodes[best][0] not in ARTICLES and any_article(nodes, best):
-        best = nodes[best][1]
-    tag, _, first, last = nodes[best]
-    if tag not in ARTICLES:
-        inside = [i for i in content if first <= i < last]
-        first, last = inside[0], inside[-1] + 1
+    content = without_menus(page, content_lines(lines))
+    outer = [0] * len(nodes)  # the outermost article or main element around each container, itself included
+    for node in range(1, len(nodes)):  # parents come before their children
+        outer[node] = outer[nodes[node][1]] or (node if nodes[node][0] in ARTICLES else 0)
+    articles = [nodes[n] for n in {outer[lines[i][2]] for i in content} if n]
+    first = min([content[0], *[begin for _, _, begin, _ in articles]])
+    last = max([content[-1] + 1, *[end for _, _, _, end in articles]])
     return "\n".join(text for text, _, _ in lines[first:last])
 
 
-def any_article(nodes: list[list], node: int) -> bool:
-    """Whether an article or main element lies around a container."""
-    while node > 0:
-        if nodes[node][0] in ARTICLES:
-            return True
-        node = nodes[node][1]
-    return False
-
-
 def extract_text(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:

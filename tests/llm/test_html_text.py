@@ -48,6 +48,19 @@ def test_plain_divs_keep_long_text():
         assert main_text(html) == "\n".join(blocks)
 
 
+def test_articles_split_over_siblings_stay_whole():
+    rng = random.Random(9)
+    menu = "<div><a>Home</a> <a>News</a> <a>About</a></div>"
+    for tag in ["div", "section", "td"] * 10:
+        parts = [[sentence(rng, 60) for _ in range(n)] for n in (2, 1, 3, 1)]
+        inside = "".join(f"<{tag}>" + "".join(f"<p>{escape(b)}</p>" for b in part) + f"</{tag}>" for part in parts)
+        inside = f"<table><tr>{inside}</tr></table>" if tag == "td" else inside
+        assert main_text(f"<body>{menu}{inside}{menu}</body>") == "\n".join(sum(parts, []))
+    long = [sentence(rng, 60) for _ in range(4)]
+    html = "".join(f"<article><h2>Post {i}</h2><p>{escape(b)}</p></article>" for i, b in enumerate(long))
+    assert main_text(f"<body>{menu}{html}{menu}</body>") == "\n".join(f"Post {i}\n{b}" for i, b in enumerate(long))
+
+
 def test_details():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("no tags &amp; all") == "no tags & all"
