@@ -62,14 +62,20 @@ WALLS = CONTAINERS | frozenset("aside footer header nav form table ul ol dl bloc
 
 
 def hinted(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a token of class, id or role is a hint, or ends with one that no word before it negates."""
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value or "").lower())
-            if any(w in HINTS or w.removesuffix("s") in HINTS for w in words):
-                return True
+            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value or "").lower().split():
+                words = re.findall(r"[a-z0-9]+", token)
+                if words and (known("".join(words)) or known(words[-1]) and NEGATIONS.isdisjoint(words)):
+                    return True
     return False
 
 
+def known(word: str) -> bool:
+    return word in HINTS or word.removesuffix("s") in HINTS
+
+
 def unseen(attrs: list[tuple[str, str | None]]) -> bool:
     return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
@@ -196,7 +202,7 @@ class Lines(HTMLParser):
             self.scopes[self.around[at]] += self.scopes[at]
         left_out = [False]
         for (parent, scope, kept), size in zip(self.hints[1:], self.sizes[1:]):
-            left_out.append(True)
+            left_out.append(left_out[parent] or not kept and size < self.most * self.scopes[scope])
         places, tags = [], 0
         for parts, more, node in self.raw:
             places.append(len(self.lines))

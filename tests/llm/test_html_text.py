@@ -61,6 +61,19 @@ def test_articles_split_over_siblings_stay_whole():
     assert main_text(f"<body>{menu}{html}{menu}</body>") == "\n".join(f"Post {i}\n{b}" for i, b in enumerate(long))
 
 
+def test_hints_do_not_take_the_article():
+    rng = random.Random(10)
+    blocks = [sentence(rng, 60) for _ in range(5)]
+    inside = "".join(f"<p>{escape(b)}</p>" for b in blocks)
+    small = f"<div class='cookie-notice'>{escape(sentence(rng, 20))}</div>"
+    for name in ["content no-sidebar", "layout with-header", "entry related-2024", "post widget", "legal", "withHeader"]:
+        for html in (f"<div class='{name}'>{inside}</div>", f"<article><div id='{name}'>{inside}</div></article>",
+                     f"<section class='{name}'><article>{inside}</article></section>"):
+            assert main_text(f"<body>{small}{html}{small}</body>") == "\n".join(blocks)
+    half = f"<div class='entry related-2024'>{inside}</div><div class='content no-sidebar'>{inside}</div>"
+    assert main_text(f"<body>{small}{half}</body>") == "\n".join(blocks * 2)
+
+
 def test_details():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("no tags &amp; all") == "no tags & all"
