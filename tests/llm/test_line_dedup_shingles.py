@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paneloom.llm.line_dedup import SHINGLE, dedup_lines, line_components, lines_of
+from paneloom.llm.line_dedup import BANDS, ROWS, SHINGLE, dedup_lines, line_components, lines_of, signatures
 from tests.llm.test_components import plain
 
 SCHEMA = "doc_id long, text string, id string, line int, tie string"
@@ -124,3 +124,15 @@ def test_numbered_lines_are_judged_on_all_shingles(spark):
         rows += [(i, line), (i + 1, f"{line[:at]}#{line[at + 1:]}")]
     found = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in found.collect()} == brute(rows)
+
+
+def test_short_lines_at_the_threshold_share_a_band(spark):
+    """Lines of 18 characters that differ in the last one share 8 of 10 shingles."""
+    rng = random.Random(6)
+    bases = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(18)) for _ in range(8000)]
+    lines = spark.createDataFrame([(i, b) for i, b in enumerate(bases)]
+                                  + [(~i, f"{b[:17]}#") for i, b in enumerate(bases)], "id long, line string")
+    keys = {r.id: set(r["keys"]) for r in signatures(lines, SHINGLE, BANDS, ROWS).collect()}
+    hit = sum(not keys[i].isdisjoint(keys[~i]) for i in range(len(bases)))
+    print("recall", hit / len(bases))
+    assert hit >= 0.998 * len(bases)
