@@ -5,7 +5,7 @@ unlabelled text minus what positives contribute to it, given the share of positi
 the risk is kept from falling below zero (the non-negative unbiased estimator). Where it does, the step goes the other
 way, which undoes overfitting to the unlabelled sample. The class prior is estimated as the share of positives among
 the labelled rows that may be used. The model is fitted on a bounded sample (``sample_rows`` positives and as many
-unlabelled rows, chosen by a hash); every row is scored.
+unlabelled rows, chosen by a hash of id and text, copies once); every row is scored.
 
 Features come from the whole text alone: the share of each byte, of hashed pairs of bytes, and a few statistics of
 words and lines.
@@ -116,27 +116,32 @@ def trained(
     if not positives:
         return None
     prior = min(0.99, max(0.01, positives / labelled))
-    trusted = usable.where((F.col("good") == 1) & (chance(F.col("id"), 1) < sample_rows / positives)).select(
-        "id", F.lit(1).alias("trusted")
-    )
+    good = usable.where("good = 1").select("id", F.lit(True).alias("good"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.where(~held_out(F.col("id")))
-    total = docs.count()
-    drawn = F.coalesce(chance(F.col("id"), 2) < sample_rows / max(1, total), F.lit(False))
-    chosen = attach(rows, trusted, ["id"]).select(
-        "id", "text", F.col("trusted").isNotNull().alias("trusted"), drawn.alias("drawn")
+    rows = rows.where(~held_out(F.col("id"))).withColumns(
+        {"key": F.xxhash64(F.col("id").isNull(), "id"), "tie": F.xxhash64("text")}
+    )
+    # Drawn by id and text, once for all copies: an id with many rows is no larger a part of the sample than of the table.
+    keys = settle(attach(rows.select("id", "key", "tie").distinct(), good, ["id"]))
+    total, matched = keys.agg(F.count(F.lit(1)), F.count("good")).first()
+    one = F.xxhash64("key", "tie")
+    picks = keys.select(
+        "key", "tie", (F.col("good").isNotNull() & (chance(one, 1) < sample_rows / max(1, matched))).alias("trusted"),
+        (chance(one, 2) < sample_rows / max(1, total)).alias("drawn"),
     ).where("trusted OR drawn")
+    chosen = attach(rows, picks, ["key", "tie"], "inner").select("id", "text", "trusted", "drawn", "key", "tie")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [features(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(vectors, pa.binary())],
-                ["id", "trusted", "drawn", "vector"],
+                [batch.column(0), *batch.columns[2:], pa.array(vectors, pa.binary())],
+                ["id", "trusted", "drawn", "key", "tie", "vector"],
             )
 
+    vectors = chosen.mapInArrow(scan, "id long, trusted boolean, drawn boolean, key long, tie long, vector binary")
     sample = sorted(
-        (tuple(r) for r in chosen.mapInArrow(scan, "id long, trusted boolean, drawn boolean, vector binary").collect()),
+        (tuple(r) for r in vectors.dropDuplicates(["key", "tie"]).drop("key", "tie").collect()),
         key=lambda r: (r[0] is None, r[0] or 0, r[3]),
     )
     if not any(r[1] for r in sample):

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from paneloom.llm import quality_model
 from paneloom.llm.quality_model import WIDTH, features, fit, quality_scores
 
 SF = "/root/testdata/sf0.01"
@@ -60,3 +61,15 @@ def test_edge_rows(spark, labelled):
     one = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, quality int")
     found = quality_scores(docs, one).collect()
     assert len(found) == 5 and all(0 <= r.score <= 1 for r in found)
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
+    """One trusted id holds 2,000 rows, half of them copies; the driver gets about the sample's size all the same."""
+    sizes = []
+    monkeypatch.setattr(quality_model, "fit", lambda good, rest, prior: sizes.append((len(good), len(rest))) or fit(good, rest, prior))
+    i = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(i, f"text {k}") for k in range(1000)] + [(i, "copy")] * 1000 + [(1000 + k, f"other {k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1), (1000, 0), (1001, 0)], "doc_id long, quality int")
+    assert quality_scores(docs, labels, sample_rows=100).count() == len(rows)
+    assert 50 <= sizes[0][0] <= 200 and 50 <= sizes[0][1] <= 200
