@@ -82,6 +82,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def similar(queries: DataFrame, rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(query, doc_id, likeness) of all pairs of tables (doc_id, signatures) at or above ``threshold``.
 
+    Equal sets are merged for the search: a pair of sets is compared once, whatever number of rows has them.
+    """
+    left, right = (settle(df.select("doc_id", F.xxhash64("signatures").alias("_key"), "signatures")) for df in (queries, rows))
+    pairs = similar_sets(left, right, threshold)
+    found = pairs.join(left.select(F.col("_key").alias("_left"), F.col("doc_id").alias("query")), "_left")
+    return found.join(right.select(F.col("_key").alias("_right"), "doc_id"), "_right").select("query", "doc_id", "likeness")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(_left, _right, likeness) of all pairs of distinct sets of tables (_key, signatures) at or above ``threshold``.
+
     Two sets that alike share one of the first ``n - ceil(threshold x n) + 1`` of their n sorted signatures, and their
     lengths differ by the factor ``threshold`` at most, so their bands are neighbours.
     """
@@ -94,17 +105,16 @@ def similar(queries: DataFrame, rows: DataFrame, threshold: float = 0.8) -> Data
         band = F.floor(F.log(n.cast("double")) / width + 1e-9)
         first = F.slice("signatures", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
         bands = F.array(band - 1, band, band + 1) if around else F.array(band)
-        return df.select(
-            F.col("doc_id").alias(name), F.col("signatures").alias(f"{name}_set"), F.explode(first).alias("_sig"),
+        return df.groupBy("_key").agg(F.first("signatures").alias("signatures")).select(
+            F.col("_key").alias(name), F.col("signatures").alias(f"{name}_set"), F.explode(first).alias("_sig"),
             bands.alias("_bands"),
         ).withColumn("_band", F.explode("_bands")).drop("_bands")
 
-    pairs = keyed(queries, "query", True).join(keyed(rows, "doc", False), ["_sig", "_band"])
+    pairs = keyed(left, "_left", True).join(keyed(right, "_right", False), ["_sig", "_band"])
     # A pair meets once for each shared first signature; only its smallest one counts.
-    verified = pairs.where(F.col("_sig") == F.array_min(F.array_intersect("query_set", "doc_set")))
+    verified = pairs.where(F.col("_sig") == F.array_min(F.array_intersect("_left_set", "_right_set")))
     return verified.select(
-        "query", F.col("doc").alias("doc_id"),
-        likeness(F.col("query_set"), F.col("doc_set"), threshold).alias("likeness"),
+        "_left", "_right", likeness(F.col("_left_set"), F.col("_right_set"), threshold).alias("likeness"),
     ).where(F.col("likeness") >= threshold - 1e-12)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneloom.llm.queries import spot_columns
-from paneloom.llm.spotsigs import ANCHORS, compare_with_next, fingerprints, likeness, signatures, similar
+from paneloom.llm.spotsigs import ANCHORS, compare_with_next, fingerprints, likeness, signatures, similar, similar_sets
 
 SCHEMA = "doc_id long, text string, fingerprint string, _range int, signatures int"
 
@@ -103,3 +103,11 @@ def test_pruned_likeness(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [1]), ([1, 2], [1, 2])], "a array<bigint>, b array<bigint>")
     assert [r[0] for r in df.select(likeness(F.col("a"), F.col("b"), 0.5)).collect()] == [0.0, 1.0]
     assert [r[0] for r in df.select(likeness(F.col("a"), F.col("b"))).collect()] == [0.25, 1.0]
+
+
+def test_copies_are_compared_once(spark):
+    docs = spark.createDataFrame([(i, "the cat sat on a mat of one two three") for i in range(200)], "doc_id long, text string")
+    sets = fingerprints(docs)
+    keyed = sets.withColumn("_key", F.xxhash64("signatures"))
+    assert similar_sets(keyed, keyed).count() == 1
+    assert similar(sets, sets).where("likeness = 1").count() == 200 * 200
