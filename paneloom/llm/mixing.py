@@ -10,7 +10,8 @@ last document is rounded, to the nearer side, so a source misses its target by h
 
 Within a block larger documents meet first: the one that stays open then tends to be small. On the last level, which
 decides by how much a source misses its target, up to ``DRAWS`` draws are made, in different orders, and the one that
-misses least is taken.
+misses least is taken. All other levels have one draw. At most ``LAST_BLOCKS`` documents of a source reach the last
+level, whatever the source's size.
 
 Rows that repeat the same id, source and text share one decision (their sizes add up). Null sources form one source,
 last in order; null, empty and blank texts have size 0 and are kept or not by a hash of their own. Random numbers are
@@ -34,6 +35,9 @@ from paneloom.operators.spread import attach, running_total, settle
 #: Documents that one task rounds at most, on average, and open documents that meet on the next level.
 BLOCK_ROWS = 4096
 
+#: Blocks of a source that are left before the last level, at every size: it has so many open documents at most.
+LAST_BLOCKS = 64
+
 #: Draws of the last level, and the share of the words at stake that a draw may miss without another one.
 DRAWS, NEAR = 48, 0.001
 
@@ -130,7 +134,11 @@ def source_targets(
 
 def round_copies(units: DataFrame, *, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``copies`` (whole) to units (source_key, key, size > 0, expected), keeping each source's expected words."""
-    fields = "source_key string, key long, tie long, size long, whole long, chance double, block long"
+    fields = "source_key string, key long, tie long, size long, whole long, chance double, block long, blocks long"
+
+    def fewer(count: Column) -> Column:
+        return F.greatest(F.ceil(count / F.lit(float(block_rows))), F.lit(LAST_BLOCKS)).cast("long")
+
     units = units.select(
         "source_key", "key", "tie", "size", F.floor("expected").cast("long").alias("whole"),
         (F.col("expected") - F.floor("expected")).alias("chance"),
@@ -145,22 +153,25 @@ def round_copies(units: DataFrame, *, seed: int = 7, block_rows: int = BLOCK_ROW
         return one
 
     counts = units.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(float(block_rows)))
-    todo = attach(units, counts, ["source_key"]).withColumn(
-        "block", F.pmod(F.xxhash64("key", "tie"), blocks.cast("long"))
+    todo = attach(units, counts, ["source_key"]).withColumn("blocks", fewer(F.col("_n"))).withColumn(
+        "block", F.pmod(F.xxhash64("key", "tie"), F.col("blocks"))
     ).drop("_n")
     done, depth = [], 0
     while True:
         todo = settle(todo)
-        last = not todo.where("block > 0").limit(1).count()
-        met = settle(todo.groupBy("source_key", "block").applyInPandas(meet(depth, DRAWS if last else 1), fields))
-        if last:
-            done.append(met)
-            break
+        met = settle(todo.groupBy("source_key", "block").applyInPandas(meet(depth, 1), fields))
         still = (F.col("chance") > 0) & (F.col("chance") < 1)
         done.append(met.where(~still))
-        todo = met.where(still).withColumn("block", F.floor(F.col("block") / F.lit(float(block_rows))).cast("long"))
+        todo = met.where(still)
+        if not todo.where(F.col("blocks") > LAST_BLOCKS).limit(1).count():
+            break
+        # Neighbouring blocks meet; a source with few of them stays as it is.
+        todo = todo.withColumn("_blocks", fewer(F.col("blocks"))).withColumn(
+            "block", F.floor(F.col("block") * F.col("_blocks") / F.col("blocks")).cast("long")
+        ).withColumn("blocks", F.col("_blocks")).drop("_blocks")
         depth += 1
+    final = settle(todo.withColumn("block", F.lit(0).cast("long")))
+    done.append(settle(final.groupBy("source_key", "block").applyInPandas(meet(-1, DRAWS), fields)))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from paneloom.llm import mixing
 from paneloom.llm.mixing import materialise, mix, pivot_chain
 
 SCHEMA = "doc_id long, text string, source string, size int, target string"
@@ -93,3 +94,17 @@ def test_materialised_rows_follow_copies(spark):
     for r in made.collect():
         count[r.doc_id] += 1
     assert dict(count) == {i: c for i, c in copies.items() if c}
+
+
+def test_several_draws_are_for_few_open_documents_only(spark):
+    """Below and above a block's rows, most documents are decided by the chains of one draw."""
+    rng = random.Random(8)
+    rows = [(i, "word " * rng.randint(1, 60), "a") for i in range(1500)]
+    small = {r.doc_id: r.copies for r in mix(table(spark, rows), share=0.5).collect()}
+    once = mixing.DRAWS
+    try:
+        mixing.DRAWS = 1
+        chain = {r.doc_id: r.copies for r in mix(table(spark, rows), share=0.5).collect()}
+    finally:
+        mixing.DRAWS = once
+    assert sum(small[i] != chain[i] for i in small) <= mixing.LAST_BLOCKS
