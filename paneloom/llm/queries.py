@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paneloom.llm.common import table
 from paneloom.llm.html_text import extract_text
+from paneloom.llm.lexicon import bpe_encode, read_tokenizer
 from paneloom.llm.line_dedup import dedup_lines
 from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
@@ -32,6 +33,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_tokenizer() -> str:
+    """Where the public word-end BPE tokeniser lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -143,6 +151,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_texts(table(spark, sf_dir, "documents"), read_model(piece_model())))
 
 
+@query
+def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document by a compiled lexicon and exact merges, as digests."""
+    return digests(bpe_encode(table(spark, sf_dir, "documents"), read_tokenizer(word_tokenizer())))
+
+
 @query
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
