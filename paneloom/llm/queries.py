@@ -18,6 +18,7 @@ from paneloom.llm.quality_rules import ERROR, FALSE_REJECTION, GRID, quality_rul
 from paneloom.llm.secrets import KINDS, find_secrets, joined
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
+from paneloom.llm.spelling import spelling_variants, vocabulary
 from paneloom.llm.spotsigs import compare_with_next, printed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,4 +209,62 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+#: One code point less, one replaced or one more; crc32 from its polynomial, over the bytes of Latin-1 letters.
+SPELLING_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda a, step:
+    CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS tab
+  FROM range(256) AS t(b)
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+    translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT name, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(name || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+        ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END))),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, bits
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+      || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), holes AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole,
+    substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.less = w.word
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.less = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, min({'less': -other_n, 'form': encode(other)}) AS top FROM near GROUP BY word
+), judged AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+    CASE WHEN -b.top.less >= 10 * w.n THEN decode(b.top.form) END AS form,
+    CASE WHEN -b.top.less >= 10 * w.n THEN -b.top.less END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), walk AS (
+  SELECT word, word AS root FROM judged
+  UNION ALL SELECT k.word, j.form FROM walk k JOIN judged j ON j.word = k.root WHERE j.form IS NOT NULL
+)
+SELECT j.word, j.form, k.root, j.n, CAST(j.n_near AS BIGINT) AS n_near, CAST(j.form_n AS BIGINT) AS form_n
+FROM judged j JOIN (
+  SELECT k.word, k.root FROM walk k JOIN judged l ON l.word = k.root WHERE l.form IS NULL) k ON k.word = j.word
+"""
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with one code point dropped here and there; near words, usual form and root of each."""
+    return spelling_variants(vocabulary(table(spark, sf_dir, "documents"), drop_one_in=31))
+
+
 ORACLES["op8_quality_rules"] = rules_sql()
+ORACLES["op11_spelling"] = SPELLING_SQL
