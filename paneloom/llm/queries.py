@@ -15,6 +15,7 @@ from paneloom.llm.mixing import mix
 from paneloom.llm.pieces import encode_texts, read_model, token_count
 from paneloom.llm.quality_model import quality_scores
 from paneloom.llm.quality_rules import ERROR, FALSE_REJECTION, GRID, quality_rules
+from paneloom.llm.ranked_search import ranked_search
 from paneloom.llm.secrets import KINDS, find_secrets, joined
 from paneloom.llm.sharding import shard_rows
 from paneloom.llm.simhash import simhash_components
@@ -266,5 +267,43 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(vocabulary(table(spark, sf_dir, "documents"), drop_one_in=31))
 
 
+RANKED_SQL = r"""
+WITH docs AS (
+  SELECT rowid AS place, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+), size AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs
+), postings AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, size GROUP BY term, n_docs
+), lengths AS (
+  SELECT place, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM docs, size WHERE len(terms) > 0
+), items AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT item_id, text, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (place) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank,
+  doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) <= 50
+"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, from a block-max index of all documents."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op8_quality_rules"] = rules_sql()
+ORACLES["op13_ranked_search"] = RANKED_SQL
 ORACLES["op11_spelling"] = SPELLING_SQL
