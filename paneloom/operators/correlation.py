@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ from paneloom.operators.spread import GROUP_ROWS, largest_group, settle, slices_
 #: Up to this many pairs are computed as built-in aggregates; beyond it per-task moment matrices are added up.
 PAIRS_IN_AGGREGATE = 30
 
+#: Columns in a tile, bytes of moments a task holds, rows a column that a task should see, and blocks added at once.
+TILE, MOMENT_BYTES, ROWS_PER_COLUMN, FAN_IN = 512, 64 << 20, 12, 8
+
+#: Sums over the rows where both columns of a pair are present.
+MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
 #: Kendall: points per bucket aimed at, and grid cells per feature handled by one call.
 BUCKET_POINTS = 1_000_000
 GRID_CELLS = 2_000_000
@@ -70,42 +77,58 @@ def _pairs_by_aggregate(df: DataFrame, names: list[str], pairs: list[tuple[int,
     return df.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))
 
 
-def _pairs_by_moments(df: DataFrame, names: list[str]) -> DataFrame:
-    """Masked moment matrices per task (p x p numbers each), summed by Spark.
+def tile_groups(p: int, tile: int, bytes_: int) -> list[list[tuple[int, int]]]:
+    """Pairs of tiles (i <= j) in groups that share their first tile and whose moments fit in ``bytes_``."""
+    tiles = -(-p // tile)
+    width = min(tile, p)
+    fit = max(1, bytes_ // (8 * len(MOMENTS) * width * width))
+    return [
+        [(i, j) for j in range(low, min(low + fit, tiles))] for i in range(tiles) for low in range(i, tiles, fit)
+    ]
+
+
+def _pairs_by_moments(
+    df: DataFrame, names: list[str], *, tile: int = TILE, bytes_: int = MOMENT_BYTES, fan_in: int = FAN_IN
+) -> DataFrame:
+    """Masked moment matrices by tiles of columns, summed over the tasks by a tree.
+
+    The columns are cut into tiles. A group of tile pairs reads the columns of its own tiles only, and a task holds the
+    moments of one group: ``bytes_`` and a batch of rows, however many columns there are. Tasks are merged until each
+    has ``ROWS_PER_COLUMN`` rows a column, so the moments that leave it stay a part of what it read. A matrix travels as
+    one block, and each step of the tree adds ``fan_in`` of them.
 
     Values are shifted by the column means first, which keeps the sums of squares well conditioned; a constant
     column is shifted by its value and becomes exact zeros.
     """
     narrow = df.select(*[_x(c).alias(f"c{i}") for i, c in enumerate(names)])
-    means = narrow.agg(
-        *[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)) for c in narrow.columns]
-    ).first()
-    shift = np.array([0.0 if m is None else m for m in means])
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = len(shift)
-        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+    known = narrow.withColumn("_part", F.spark_partition_id()).agg(F.count(F.lit(1)), F.max("_part"), *[
+        F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)) for c in narrow.columns
+    ]).first()
+    shift = np.array([0.0 if m is None else m for m in known[2:]])
+    p, parts = len(names), (known[1] or 0) + 1
+    tasks = max(1, min(parts, -(-known[0] // (ROWS_PER_COLUMN * p))))
+    scans = [
+        _tile_moments(narrow, group, tile, shift, tasks if tasks < parts else None)
+        for group in tile_groups(p, tile, bytes_)
+    ]
+    blocks = union_all(scans)
+    while tasks > fan_in:  # the numbers of a group's tasks follow one another, from any number on
+        tasks = tasks // fan_in + 2
+        up = blocks.withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
+        blocks = up.groupBy("i", "j", "part").applyInPandas(_added, blocks.schema)
+    blocks = blocks.groupBy("i", "j").applyInPandas(_added, blocks.schema)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            present = ~np.isnan(x)
-            x = np.where(present, x - shift, 0.0)
-            mask = present.astype(float)
-            n += mask.T @ mask
-            sx += x.T @ mask
-            sxx += (x * x).T @ mask
-            sxy += x.T @ x
-        i, j = np.triu_indices(p, 1)
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i],
-                "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j],
-            }
-        )
-
-    parts = narrow.mapInPandas(
-        moments, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    )
-    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in parts.columns[2:]])
+            for row in batch.itertuples():
+                width = min(tile, p - row.i * tile), min(tile, p - row.j * tile)
+                m = np.frombuffer(row.moments).reshape(len(MOMENTS), *width)
+                x, y = np.triu_indices(width[0], 1) if row.i == row.j else np.indices(width).reshape(2, -1)
+                yield pd.DataFrame(
+                    {"i": x + row.i * tile, "j": y + row.j * tile} | {c: m[k][x, y] for k, c in enumerate(MOMENTS)}
+                )
+
+    total = blocks.mapInPandas(unpack, "i int, j int, " + ", ".join(f"{c} double" for c in MOMENTS))
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
@@ -116,27 +139,93 @@ def _pairs_by_moments(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def _tile_moments(
+    narrow: DataFrame, group: list[tuple[int, int]], tile: int, shift: np.ndarray, tasks: int | None
+) -> DataFrame:
+    """(i, j, part, moments): the sums of one group of tile pairs over the rows of each task."""
+    p = len(shift)
+    tiles = sorted({t for pair in group for t in pair})
+    columns = {t: np.arange(t * tile, min(p, (t + 1) * tile)) for t in tiles}
+    order = np.concatenate([columns[t] for t in tiles])
+    begin = dict(zip(tiles, np.cumsum([0] + [len(columns[t]) for t in tiles])))
+    own = narrow.select(*[f"c{c}" for c in order])
+    own = own.coalesce(tasks) if tasks else own
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {(i, j): np.zeros((len(MOMENTS), len(columns[i]), len(columns[j]))) for i, j in group}
+        any_ = False
+        for batch in batches:
+            any_ = True
+            x = batch.to_numpy(dtype=float)
+            present = ~np.isnan(x)
+            x = np.where(present, x - shift[order], 0.0)
+            mask = present.astype(float)
+
+            def part(of, t):
+                return of[:, begin[t]:begin[t] + len(columns[t])]
+
+            for (i, j), m in sums.items():
+                xi, xj, mi, mj = part(x, i), part(x, j), part(mask, i), part(mask, j)
+                m += np.stack([mi.T @ mj, xi.T @ mj, mi.T @ xj, (xi * xi).T @ mj, mi.T @ (xj * xj), xi.T @ xj])
+        if any_:
+            number = TaskContext.get().partitionId()
+            rows = [(i, j, number, m.tobytes()) for (i, j), m in sums.items()]
+            yield pd.DataFrame(rows, columns=["i", "j", "part", "moments"])
+
+    return own.mapInPandas(moments, "i int, j int, part int, moments binary")
+
+
+def _added(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The sum of the moments of some tasks, in the order of their numbers."""
+    first = blocks.iloc[0]
+    total = sum(np.frombuffer(m) for m in blocks.moments)
+    return pd.DataFrame([(first.i, first.j, first.part, total.tobytes())], columns=["i", "j", "part", "moments"])
+
+
 def prune_correlated(
     df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.95, *, include_perfect: bool = False
 ) -> list[str]:
     """Columns left after repeatedly dropping the later column of the strongest pair above ``threshold``.
 
-    Pairs at exactly 1 do not count unless ``include_perfect``. Dropping a column changes no other pair, so the
-    pairs are computed once and the greedy pass runs over that table of column pairs.
+    Pairs at exactly 1 do not count unless ``include_perfect``. Dropping a column changes no other pair, so the pairs
+    are computed once; ``later_of_strongest`` decides them in rounds, and only names of dropped columns leave Spark.
     """
     names = list(cols) if cols is not None else numerical_columns(df)
     strong = pair_correlations(df, names).where(F.col("abs_corr") > threshold)
     if not include_perfect:
         strong = strong.where(F.col("abs_corr") < 1.0)
-    place = {c: i for i, c in enumerate(names)}
-    pairs = sorted(strong.collect(), key=lambda r: (-r.abs_corr, place[r.col_a], place[r.col_b]))
-    dropped: set[str] = set()
-    for pair in pairs:
-        if pair.col_a not in dropped and pair.col_b not in dropped:
-            dropped.add(pair.col_b)
+    place = F.create_map(*[F.lit(v) for i, c in enumerate(names) for v in (c, i)]) if names else F.lit(None)
+    edges = strong.select(place[F.col("col_a")].alias("a"), place[F.col("col_b")].alias("b"), "abs_corr")
+    dropped = {names[r.b] for r in later_of_strongest(edges).collect()}
     return [c for c in names if c not in dropped]
 
 
+def later_of_strongest(edges: DataFrame) -> DataFrame:
+    """(b): what a pass over the edges (a < b, abs_corr), strongest first, drops: b, if a and b are still there.
+
+    An edge is decided as soon as its own fate is certain: no undecided stronger edge could drop ``a``. It drops ``b`` if
+    no decided stronger edge has dropped ``a``, and is void otherwise. All such edges are decided in one round, among
+    them always the strongest one left; an edge weaker than the one that drops its ``b`` is of no use any more. The
+    rounds follow the longest chain of ever weaker edges, not the number of edges.
+    """
+    key = F.struct((-F.col("abs_corr")).alias("weak"), "a", "b")
+    state = edges.select("a", "b", key.alias("key"), F.lit(False).alias("sure"))
+    while True:
+        state = settle(state)
+        if state.where("NOT sure").isEmpty():
+            return state.select("b").distinct()
+        # One row per column of the table, so a small table by its nature.
+        fate = F.broadcast(state.groupBy("b").agg(
+            F.min(F.when(F.col("sure"), F.col("key"))).alias("at"), F.min(F.when(~F.col("sure"), F.col("key"))).alias("threat")
+        ))
+        of_a = fate.select(F.col("b").alias("a"), F.col("at").alias("_gone"), F.col("threat").alias("_threat"))
+        of_b = fate.select("b", F.col("at").alias("_done"))
+        judged = state.join(of_a, "a", "left").join(of_b, "b", "left")
+        void = ~F.col("sure") & (F.coalesce(F.col("_gone") < F.col("key"), F.lit(False)) | (F.col("_done") < F.col("key")))
+        sure = F.col("sure") | F.col("_threat").isNull() | (F.col("_threat") > F.col("key"))
+        state = judged.where(~F.coalesce(void, F.lit(False))).select("a", "b", "key", sure.alias("sure"))
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], *, corner: bool = True) -> DataFrame:
     """Pearson matrix in long form; ``corner`` keeps the lower triangle without the diagonal."""
     pairs = pair_correlations(df, cols).select(

@@ -70,6 +70,77 @@ def test_pruning_keeps_exact_copies_unless_asked(table):
     assert c.prune_correlated(table, names, 0.95, include_perfect=True) == ["a", "b", "flat"]
 
 
+def serial_greedy(edges):
+    """The later column of the strongest pair goes, again and again."""
+    gone = set()
+    for _, a, b in sorted((-w, a, b) for a, b, w in edges):
+        if a not in gone and b not in gone:
+            gone.add(b)
+    return gone
+
+
+@pytest.mark.parametrize("seed, columns, share", [(1, 12, 0.6), (2, 30, 0.2), (3, 30, 1.0), (4, 60, 0.05)])
+def test_rounds_equal_the_serial_pass(spark, seed, columns, share):
+    rng = np.random.default_rng(seed)
+    edges = [
+        (a, b, float(rng.integers(950, 999)) / 1000)
+        for a in range(columns) for b in range(a + 1, columns) if rng.random() < share
+    ]
+    got = c.later_of_strongest(spark.createDataFrame(edges, "a int, b int, abs_corr double"))
+    assert {r.b for r in got.collect()} == serial_greedy(edges)
+
+
+def test_rounds_of_stars_chains_and_nothing(spark):
+    star = [(0, b, 1 - b / 100) for b in range(1, 40)]
+    chain = [(b, b + 1, 0.99 - b / 1000) for b in range(50, 60)]
+    got = c.later_of_strongest(spark.createDataFrame(star + chain, "a int, b int, abs_corr double"))
+    assert {r.b for r in got.collect()} == serial_greedy(star + chain)
+    assert c.later_of_strongest(spark.createDataFrame([], "a int, b int, abs_corr double")).count() == 0
+
+
+@pytest.mark.parametrize("tile, bytes_, fan_in", [(2, 1, 2), (3, 300, 2), (2, 10**6, 3), (512, 10**6, 8)])
+def test_tiles_equal_whole_matrices(spark, tile, bytes_, fan_in):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 7)) @ rng.normal(size=(7, 7))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcdefg")).assign(h=3.0)
+    names = list(pdf.columns)
+    df = spark.createDataFrame(pdf).repartition(9)
+    df = df.select(*[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    before, c.ROWS_PER_COLUMN = c.ROWS_PER_COLUMN, 4
+    try:
+        got = c._pairs_by_moments(df, names, tile=tile, bytes_=bytes_, fan_in=fan_in).collect()
+    finally:
+        c.ROWS_PER_COLUMN = before
+    assert len(got) == 28 and len({(r.col_a, r.col_b) for r in got}) == 28
+    for r in got:
+        assert names.index(r.col_a) < names.index(r.col_b)
+        if "h" in (r.col_a, r.col_b):
+            assert r["corr"] is None
+        else:
+            assert r["corr"] == pytest.approx(pdf[r.col_a].corr(pdf[r.col_b]), abs=1e-12)
+
+
+def test_groups_of_tiles_hold_their_bound():
+    groups = c.tile_groups(2000, 512, 64 << 20)
+    assert sorted(pair for g in groups for pair in g) == [(i, j) for i in range(4) for j in range(i, 4)]
+    assert all(len(g) * 8 * 6 * 512 ** 2 <= 64 << 20 and len({i for i, _ in g}) == 1 for g in groups)
+
+
+def test_two_thousand_columns(spark):
+    """A wide table: four groups of tiles, each within 64 MB of moments, whatever the number of columns."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 2000))
+    x[:, 1999] = -x[:, 3]
+    names = [f"c{i}" for i in range(2000)]
+    wide = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    got = c.pair_correlations(wide, names)
+    assert got.count() == 2000 * 1999 // 2
+    shown = {(r.col_a, r.col_b): r["corr"] for r in got.where("col_a IN ('c3', 'c600') AND col_b IN ('c1999', 'c1024')").collect()}
+    assert shown["c3", "c1999"] == pytest.approx(-1)
+    assert shown["c600", "c1024"] == pytest.approx(np.corrcoef(x[:, 600], x[:, 1024])[0, 1], abs=1e-12)
+
+
 @pytest.mark.parametrize("slices", [1, 3, 40])
 def test_kendall(table, data, slices):
     got = {r.feature: r.abs_corr for r in c.target_correlations(table, ["a", "b", "near"], "y", "kendall", slices=slices).collect()}
