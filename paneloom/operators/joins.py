@@ -55,27 +55,38 @@ def previous_period_flag(
     return previous_period_flags(df, keys, period, {out: predicate})
 
 
-def outer_concat(tables: Sequence[DataFrame], key: str, *, coalesce: bool = False) -> DataFrame:
-    """Column-wise concat of tables that hold one row per ``key``.
+def outer_concat(tables: Sequence[DataFrame], key: str | Sequence[str], *, coalesce: bool = False) -> DataFrame:
+    """Column-wise concat of tables that hold one row per ``key``: a tagged union and one grouped merge.
 
     A column present in several tables keeps the first table's values, also where that table lacks the key;
-    ``coalesce=True`` falls back to the later tables instead.
+    ``coalesce=True`` falls back to the later tables instead. However many tables there are, their rows are shuffled
+    once, and a key meets at most one row of each. Rows whose key holds a null match nothing and stay as they are.
     """
-    def add(left: DataFrame, right: DataFrame) -> DataFrame:
-        shared = [c for c in right.columns if c in left.columns and c != key]
-        if not coalesce:
-            return left.join(right.drop(*shared), key, "full_outer")
-        right = right.withColumnsRenamed({c: f"_other_{c}" for c in shared})
-        joined = left.join(right, key, "full_outer")
-        return joined.select(
-            *[
-                F.coalesce(F.col(f"`{c}`"), F.col(f"`_other_{c}`")).alias(c) if c in shared else F.col(f"`{c}`")
-                for c in joined.columns
-                if not c.startswith("_other_")
-            ]
-        )
-
-    return reduce(add, tables)
+    keys = [key] if isinstance(key, str) else list(key)
+    cells = [f"_table_{i}" for i in range(len(tables))]
+    columns = [[c for c in t.columns if c not in keys] for t in tables]
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+
+    def tagged(i: int) -> DataFrame:
+        own = [F.col(f"`{c}`") for c in columns[i]] or [F.lit(True).alias("_there")]
+        lone = F.when(~whole, F.concat(F.lit(f"{i}:"), F.monotonically_increasing_id().cast("string")))
+        return tables[i].select(*[f"`{k}`" for k in keys], lone.alias("_lone"), F.struct(*own).alias(cells[i]))
+
+    if len(tables) == 1:
+        return tables[0]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tagged(i) for i in range(len(tables))])
+    # Dealt out first, so that both steps of the aggregation stay in one task.
+    dealt = union.repartition(*[F.col(f"`{k}`") for k in keys], "_lone")
+    merged = dealt.groupBy(*[f"`{k}`" for k in keys], "_lone").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in cells]
+    )
+    names = list(dict.fromkeys(c for own in columns for c in own))
+
+    def value(name: str) -> Column:
+        found = [F.col(f"{cell}.`{name}`") for cell, own in zip(cells, columns) if name in own]
+        return F.coalesce(*found) if coalesce else found[0]
+
+    return merged.select(*[F.col(f"`{k}`") for k in keys], *[value(n).alias(n) for n in names])
 
 
 def map_or_raise(df: DataFrame, column: str, lookup: DataFrame, lookup_key: str, lookup_value: str) -> DataFrame:

@@ -16,7 +16,7 @@ from paneloom.functions.text import (
 from paneloom.operators.cleaning import rank_flags
 from paneloom.operators.dedupe import keep_first
 from paneloom.operators.filters import drop_containing, drop_header_repeats, keep_members
-from paneloom.operators.joins import map_or_raise
+from paneloom.operators.joins import map_or_raise, outer_concat
 from paneloom.operators.ranks import rank_by_group
 from paneloom.operators.spread import attach, settle
 from paneloom.schema import DEFAULT_STAT_TYPES, KEY, NOT_STATISTICS, SHARED, STAT_TYPES
@@ -65,9 +65,7 @@ def player_stats(
     rows = settle(keep_first(rows, ["stat_type", KEY], ["doc_ord"]))
 
     tables = {t: _stat_table(rows.where(F.col("stat_type") == t), t) for t in wanted}
-    joined = None
-    for t, table in tables.items():
-        joined = table if joined is None else joined.join(table, [KEY, "SEASON"], "full_outer")
+    joined = outer_concat(list(tables.values()), [KEY, "SEASON"])
     return keep_members(_first_filled(joined, tables), "TEAM", teams, fold="upper")
 
 

@@ -49,6 +49,42 @@ def test_stage_is_built_once(spark, tmp_path):
     assert calls == [3, 7]
 
 
+def test_half_written_stage_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    spark.range(2).write.parquet(path)  # data without a marker, as an interrupted build leaves them
+    assert not stages.stage_exists(spark, path)
+    assert stages.build_once(spark, path, lambda: spark.range(5)).count() == 5
+    assert stages.stage_exists(spark, path)
+
+    def broken():
+        return spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("stop"))).alias("id"))
+
+    with pytest.raises(Exception, match="stop"):
+        stages.build_once(spark, path, broken, refresh=True)
+    assert not stages.stage_exists(spark, path)
+    assert stages.build_once(spark, path, lambda: spark.range(4)).count() == 4
+
+
+def test_stale_stage_is_built_again(spark, tmp_path):
+    path, source, calls = str(tmp_path / "stage"), str(tmp_path / "source"), []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 AS id")
+
+    def run(recipe="1"):
+        return stages.build_once(spark, path, build, inputs=[spark.read.parquet(source)], recipe=recipe).count()
+
+    spark.range(3).write.parquet(source)
+    assert (run(), run(), len(calls)) == (3, 3, 1)
+    spark.range(1).write.mode("append").parquet(source)
+    assert (run(), run(), len(calls)) == (4, 4, 2)
+    assert (run("2"), run("2"), len(calls)) == (4, 4, 3)
+    assert stages.file_state(spark.read.parquet(source).limit(0))[0] in (0, 2)
+    with pytest.raises(ValueError, match="read from files"):
+        stages.fingerprint([spark.range(3)])
+
+
 def test_manifest(spark, tmp_path):
     given = manifest.Features(["POS"], ["G", "W/L%"], ["G", "POS_C"])
     manifest.write_features(spark, given, str(tmp_path / "f"))
@@ -59,15 +95,56 @@ def batch(spark, day, names, pred=1.0):
     return spark.createDataFrame([(dt.date(2024, 1, day), n, pred) for n in names], schema.HISTORY)
 
 
+def shown(table):
+    return rows(table.select("PLAYER", "PRED"), "DATE", "PLAYER", "PRED")
+
+
 def test_history_takes_a_date_once(spark, tmp_path):
     path = str(tmp_path / "history")
     history.append_once(batch(spark, 1, "ab"), path)
     history.append_once(batch(spark, 1, "abc", 9.0), path)
     got = history.append_once(batch(spark, 2, "c"), path)
-    assert rows(got.select("PLAYER", "PRED"), "DATE", "PLAYER") == [("a", 1.0), ("b", 1.0), ("c", 1.0)]
+    assert shown(got) == [("a", 1.0), ("b", 1.0), ("c", 1.0)]
+    undated = spark.createDataFrame([(None, "n", 0.0)], schema.HISTORY)
+    history.append_once(undated, path)
+    got = history.append_once(undated, path)
+    assert got.schema.names == schema.HISTORY.names and got.where("DATE IS NULL").count() == 1 and got.count() == 4
+
+
+@pytest.mark.parametrize("step", ["_stage", "_publish"])
+def test_history_survives_an_interrupted_run(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "history")
+    history.append_once(batch(spark, 1, "a"), path)
+    whole = getattr(history, step)
+
+    def stopped(*given):
+        if step == "_stage":
+            whole(*given)  # all data are written, nothing is published
+        raise KeyboardInterrupt
+
+    both = batch(spark, 2, "bc").unionByName(batch(spark, 3, "d"))
+    with monkeypatch.context() as patch:
+        patch.setattr(history, step, stopped)
+        with pytest.raises(KeyboardInterrupt):
+            history.append_once(both, path)
+    assert shown(history.read_history(spark, path, schema.HISTORY)) == [("a", 1.0)]
+    assert shown(history.append_once(both, path)) == [("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 1.0)]
+    assert shown(history.append_once(both, path)) == [("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 1.0)]
+
+
+def test_epochs(spark, tmp_path):
+    path = str(tmp_path / "history")
+    history.append_once(batch(spark, 9, "z"), path)
+    for _ in range(2):  # each epoch is replayed
+        history.append_epoch(batch(spark, 1, "ab"), path, "s", 0)
+        history.append_epoch(batch(spark, 1, "c").unionByName(batch(spark, 9, "y")), path, "s", 1)
+        got = history.append_epoch(batch(spark, 1, "d"), path, "other", 0)
+    assert shown(got) == [("a", 1.0), ("b", 1.0), ("c", 1.0), ("z", 1.0)]
+    assert shown(history.append_once(batch(spark, 1, "e"), path)) == shown(got)
 
 
 def test_history_from_a_stream(spark, tmp_path):
+    """A date that comes in two micro-batches keeps all its rows."""
     source, path = str(tmp_path / "in"), str(tmp_path / "history")
     batch(spark, 1, "ab").coalesce(1).write.parquet(source)
     for run in (1, 2):
@@ -76,8 +153,8 @@ def test_history_from_a_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema.HISTORY).parquet(source)
         query = append_stream(stream, path, str(tmp_path / "cp")).trigger(availableNow=True).start()
         query.awaitTermination(120)
-    got = spark.read.schema(schema.HISTORY).parquet(path)
-    assert rows(got.select("PLAYER"), "DATE", "PLAYER") == [("a",), ("b",), ("a",)]
+    got = history.read_history(spark, path, schema.HISTORY)
+    assert rows(got.select("PLAYER"), "DATE", "PLAYER") == [("a",), ("b",), ("z",), ("a",)]
 
 
 LISTING = """{"total_count": 3, "artifacts": [
