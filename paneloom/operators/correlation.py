@@ -8,13 +8,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.operators.cleaning import numerical_columns
 from paneloom.operators.dedupe import union_all
-from paneloom.operators.ranks import rank_by_group
-from paneloom.operators.spread import GROUP_ROWS, largest_group, settle, slices_of
+from paneloom.operators.spread import GROUP_ROWS, attach, largest_group, running_total, settle, slices_of
 
 #: Up to this many pairs are computed as built-in aggregates; beyond it per-task moment matrices are added up.
 PAIRS_IN_AGGREGATE = 30
@@ -250,17 +249,20 @@ def target_correlations(
     *,
     group_rows: int = GROUP_ROWS,
     slices: int | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
-    """``feature, method, abs_corr`` below 1, for each column against ``target``."""
+    """``feature, method, abs_corr`` below 1, for each column against ``target``.
+
+    Spearman and Kendall work on the value counts of ``target_points``; pass the same ``points`` to both.
+    """
     if method == "pearson":
         entries = [
             F.struct(F.lit(c).alias("feature"), pearson(_x(c), _x(target)).alias("corr")) for c in cols
         ]
         found = df.agg(F.array(*entries).alias("all")).select(F.inline("all"))
-    elif method == "spearman":
-        found = _spearman(_pairs_with_target(df, cols, target), group_rows)
-    elif method == "kendall":
-        found = _kendall(_pairs_with_target(df, cols, target), slices or slices_of(df))
+    elif method in ("spearman", "kendall"):
+        points = target_points(df, cols, target) if points is None else points
+        found = _spearman(points, group_rows) if method == "spearman" else _kendall(points, slices or slices_of(df))
     else:
         raise ValueError("method must be pearson, spearman or kendall")
     return found.select(
@@ -268,6 +270,11 @@ def target_correlations(
     ).where(F.col("abs_corr") < 1.0)
 
 
+def target_points(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
+    """``feature, x, y, n``: how often each pair of values occurs, computed once."""
+    return settle(_pairs_with_target(df, cols, target).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
 def _pairs_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Long form ``feature, x, y`` over the rows where both are present."""
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), _x(c).alias("x")) for c in cols])
@@ -275,10 +282,37 @@ def _pairs_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataF
     return long.select("e.feature", "e.x", "y").where("x IS NOT NULL AND y IS NOT NULL")
 
 
-def _spearman(pairs: DataFrame, group_rows: int) -> DataFrame:
-    ranked = rank_by_group(pairs, ["feature"], "x", "rx", method="average", group_rows=group_rows)
-    ranked = rank_by_group(ranked, ["feature"], "y", "ry", method="average", group_rows=group_rows)
-    return ranked.groupBy("feature").agg(pearson(F.col("rx"), F.col("ry")).alias("corr"))
+def _spearman(points: DataFrame, group_rows: int) -> DataFrame:
+    """Pearson over average ranks, from value counts: ranks are prefix sums of counts, moments are weighted by them.
+
+    While the points of a feature fit a task, both ranks come from windows over one partitioning by feature. Otherwise
+    the counts of the distinct values are summed over range-partitioned slices, and the ranks are joined back.
+    """
+    if group_rows and largest_group(points, ["feature"]) <= group_rows:
+        ranked = points
+        for axis in ("x", "y"):
+            up = Window.partitionBy("feature").orderBy(axis)  # up to and with the equal values
+            ties = Window.partitionBy("feature", axis)
+            ranked = ranked.withColumn(
+                f"r{axis}", F.sum("n").over(up) - (F.sum("n").over(ties) - 1) / F.lit(2.0)
+            )
+    else:
+        ranked = points
+        for axis in ("x", "y"):
+            runs = points.groupBy("feature", axis).agg(F.sum("n").alias("_t"))
+            above = running_total(runs, ["feature"], [F.col(axis).asc()], F.col("_t"), "_above")
+            ranks = above.select("feature", axis, (F.col("_above") + (F.col("_t") + 1) / F.lit(2.0)).alias(f"r{axis}"))
+            ranked = attach(ranked, ranks, ["feature", axis])
+    middle = points.groupBy("feature").agg(((F.sum("n") + 1) / F.lit(2.0)).alias("_middle"))
+    centred = ranked.join(F.broadcast(middle), "feature").select(  # one row per column of the table
+        "feature", "n", (F.col("rx") - F.col("_middle")).alias("a"), (F.col("ry") - F.col("_middle")).alias("b")
+    )
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    sums = centred.groupBy("feature").agg(
+        F.sum(n * a * b).alias("ab"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb")
+    )
+    norm = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))
+    return sums.select("feature", F.when(norm > 0, F.col("ab") / norm).alias("corr"))
 
 
 def signed_pairs(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -309,10 +343,8 @@ def signed_pairs(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return total
 
 
-def _kendall(pairs: DataFrame, slices: int, *, grid_cells: int = GRID_CELLS) -> DataFrame:
+def _kendall(points: DataFrame, slices: int, *, grid_cells: int = GRID_CELLS) -> DataFrame:
     """Tau-b without listing pairs: signed pairs over the square root of the untied pairs of either side."""
-    points = settle(pairs.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-
     def tied(axis: str) -> DataFrame:
         t = F.col("t").cast("double")
         runs = points.groupBy("feature", axis).agg(F.sum("n").alias("t"))

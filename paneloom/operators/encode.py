@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneloom.operators.folds import seeded_md5
 from paneloom.operators.ranks import rank_by_group
+from paneloom.operators.spread import settle
 
 #: More levels than this would make an unusably wide table.
 MAX_LEVELS = 1000
@@ -48,8 +50,10 @@ def one_hot(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
 
 
 def sample_values(df: DataFrame, column: str, share: float, *, seed: int = 0) -> DataFrame:
-    """``int(share · n)`` of the n distinct values, chosen by hash so that a rerun picks the same."""
-    values = df.select(column).distinct().withColumn("_hash", F.xxhash64(column, F.lit(seed)))
+    """``int(share · n)`` of the n distinct values, chosen by md5 so that a rerun or another engine picks the same."""
+    values = settle(df.select(column).distinct().withColumn("_hash", seeded_md5(column, seed)))
     wanted = int(share * values.count())
-    placed = rank_by_group(values, [], "_hash", "_place", method="position", tie=[column], ascending=True)
+    placed = rank_by_group(
+        values, [], "_hash", "_place", method="position", tie=[column], ascending=True, group_rows=0
+    )
     return placed.where(F.col("_place") <= wanted).select(column)

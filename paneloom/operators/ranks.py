@@ -34,7 +34,7 @@ def rank_by_group(
         raise ValueError(f"method must be one of {METHODS}")
     if method == "position" and not tie:
         raise ValueError("a position needs a tie-breaker to be well defined")
-    if largest_group(df, group) <= group_rows:
+    if group_rows and largest_group(df, group) <= group_rows:
         return _rank_by_window(df, group, score, out, method, tie, ascending)
     return _rank_by_totals(df, group, score, out, method, tie, ascending)
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneloom.session import checkpoint_folder
 
@@ -48,6 +49,21 @@ def slices_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _offsets(totals: DataFrame, group: list[str]) -> DataFrame:
+    """The sum of ``_total`` over the slices before each one; without a group, at most one row per slice leaves Spark."""
+    if group:
+        earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(
+            *group, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
+        )
+    rows, so_far = [], 0
+    for r in sorted(totals.collect(), key=lambda r: r["_slice"]):
+        rows.append((r["_slice"], so_far))
+        so_far += r["_total"] or 0
+    schema = T.StructType([totals.schema["_slice"], T.StructField("_offset", totals.schema["_total"].dataType)])
+    return totals.sparkSession.createDataFrame(rows, schema)
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -72,12 +88,7 @@ def running_total(
         .withColumn("_slice", F.spark_partition_id())
     )
     totals = placed.groupBy(*group, "_slice").agg(F.sum("_value").alias("_total"))
-    earlier = (
-        Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *group, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-    )
+    offsets = _offsets(totals, group)
     inside = (
         Window.partitionBy(*group, "_slice")
         .orderBy(*order)

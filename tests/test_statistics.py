@@ -150,8 +150,8 @@ def test_kendall(table, data, slices):
 
 
 def test_kendall_cuts_a_large_grid_again(table, data):
-    pairs = c._pairs_with_target(table, ["a", "b"], "y")
-    for r in c._kendall(pairs, 16, grid_cells=30).collect():
+    points = c.target_points(table, ["a", "b"], "y")
+    for r in c._kendall(points, 16, grid_cells=30).collect():
         assert r["corr"] == pytest.approx(tau_b(data[r.feature].to_numpy(), data.y.to_numpy()), abs=1e-12)
 
 
