@@ -1,13 +1,13 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-1. Spark counts the words of all texts; the ``LEXICON_WORDS`` most frequent ones (a fixed bound) go to the driver.
+1. Spark counts the words of all texts; the most frequent ones, ``LEXICON_WORDS`` at most, go to the driver.
 2. They are compiled into a minimal acyclic automaton over their bytes: equal suffixes are stored once. Each arc says how
    many accepted words come before it, so the outputs along a word's path add up to its number, which finds its ids.
 3. The automaton travels as bytes of a few MB; each Python worker maps them from an unlinked file of its own and reads
    only the pages that it needs.
 4. A task cuts texts at special tokens and white space and cuts each distinct chunk into words as the tokeniser does. All
-   distinct words of a batch's new chunks walk through the automaton at once; words that the lexicon lacks are merged
-   by rank, which gives the same ids. Ids are joined back by position; a bounded table keeps the chunks already met.
+   distinct words of a batch's new chunks walk through the automaton at once; words that the lexicon lacks go through
+   the tokeniser's own merges, which gives the same ids. Ids are joined back by position; a bounded table keeps the chunks already met.
 
 Which words are in the lexicon changes the speed only, never an id. Tokenisers of another build than the one described
 in ``cuttable`` are applied to whole texts by the library. Decoding is the tokens joined by blanks where the tokeniser has
@@ -19,7 +19,6 @@ empty table gives an empty result (and an empty lexicon); other columns are igno
 
 from __future__ import annotations
 
-import heapq
 import json
 import mmap
 import re
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import small_batches
+from paneloom.operators.spread import settle
 
 #: Words that are compiled at most, and bytes of the longest of them.
 LEXICON_WORDS, LONGEST = 131_072, 64
@@ -52,8 +52,8 @@ FAR = re.compile("[\u0130\u0250-\U0010ffff]").search
 #: Chunks in a task's table, and code points of the longest one that is kept there.
 TABLE_CHUNKS, TABLE_LENGTH = 400_000, 64
 
-#: Symbols up to which the pairs of a word are kept in a plain list.
-SHORT = 64
+#: Steps of a histogram of counts for each factor of e: some thousand for any corpus.
+STEPS = 100
 
 #: The JVM's approximation of the pre-tokeniser, for counting only.
 COUNTED = r"\p{L}+|[^\s\p{L}\p{N}]+"
@@ -157,55 +157,6 @@ class Lexicon:
         return self.ids[self.offsets[number]:self.offsets[number + 1]].tolist()
 
 
-class Merger:
-    """Exact byte-pair merges of one word, lowest rank first and leftmost among equals."""
-
-    def __init__(self, model: dict):
-        self.vocab = model["vocab"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
-        self.made = [self.vocab[a + b] for a, b in pairs]
-
-    def ids(self, word: str) -> list[int]:
-        symbols = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
-        return self.short(symbols) if len(symbols) <= SHORT else self.long(symbols)
-
-    def short(self, symbols: list[int]) -> list[int]:
-        """Look at all pairs for each merge."""
-        rank_of, none = self.ranks.get, len(self.made)
-        ranks = [rank_of(pair, none) for pair in zip(symbols, symbols[1:])]
-        while ranks and (rank := min(ranks)) < none:
-            at = ranks.index(rank)
-            symbols[at:at + 2] = [self.made[rank]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank_of((symbols[at - 1], symbols[at]), none)
-            if at < len(ranks):
-                ranks[at] = rank_of((symbols[at], symbols[at + 1]), none)
-        return symbols
-
-    def long(self, symbols: list[int]) -> list[int]:
-        """Take pairs from a heap; neighbours are linked."""
-        end, ranks = len(symbols), self.ranks
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        heap = [(ranks[pair], at) for at, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
-        heapq.heapify(heap)
-        while heap:
-            rank, at = heapq.heappop(heap)
-            right = after[at]
-            if symbols[at] < 0 or right >= end or ranks.get((symbols[at], symbols[right])) != rank:
-                continue  # one of the two has been merged away since
-            symbols[at], symbols[right] = self.made[rank], -1
-            after[at] = after[right]
-            if after[at] < end:
-                before[after[at]] = at
-            for left, other in ((before[at], at), (at, after[at])):
-                if left >= 0 and other < end and (symbols[left], symbols[other]) in ranks:
-                    heapq.heappush(heap, (ranks[symbols[left], symbols[other]], left))
-        return [s for s in symbols if s >= 0]
-
-
 class Encoder:
     """A tokeniser with a compiled lexicon."""
 
@@ -220,12 +171,12 @@ class Encoder:
         self.whole = not self.cuttable()
         if self.whole:
             return
-        self.merger = Merger(self.spec["model"])
+        self.merge = self.library.model.tokenize
         self.lexicon = Lexicon(compiled) if compiled else None
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.tokens = {i: t for t, i in self.merger.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = {i: t for t, i in self.spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         near = [chr(c) for c in range(NEAR)]
         letters, digits = (re.escape("".join(c for c in near if unicodedata.category(c)[0] == k)) for k in "LN")
         endings = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].removesuffix(BRANCHES)
@@ -262,16 +213,21 @@ class Encoder:
     def words_of(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in the alphabet of the merges."""
         if chunk.isascii() or not FAR(chunk):  # composed already, and lower case goes letter by letter
-            return [w.translate(self.level) for w in self.near_words(chunk.lower())]
+            words = self.near_words(chunk.lower())
+            return words if chunk.isascii() and chunk.isprintable() else [w.translate(self.level) for w in words]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
+    def merged(self, word: str) -> list[int]:
+        """Ids of a word by the tokeniser's own merges."""
+        return [t.id for t in self.merge(word)]
+
     def word_ids(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of distinct words: from the lexicon, or merged."""
         if self.lexicon is None:
-            yield from map(self.merger.ids, words)
+            yield from map(self.merged, words)
             return
         for word, number in zip(words, self.lexicon.numbers([w.encode() for w in words]).tolist()):
-            yield self.merger.ids(word) if number < 0 else self.lexicon.ids_of(number)
+            yield self.merged(word) if number < 0 else self.lexicon.ids_of(number)
 
     def look_up(self, chunks: list[str]) -> None:
         """Put distinct chunks into the tables."""
@@ -282,8 +238,11 @@ class Encoder:
             ids[word] = packed(found)
             texts[word] = " ".join([self.tokens[i] for i in found])
         for c, own in cut.items():
-            self.ids_table[c] = b"".join([ids[w] for w in own])
-            self.text_table[c] = " ".join([texts[w] for w in own])
+            if len(own) == 1:
+                self.ids_table[c], self.text_table[c] = ids[own[0]], texts[own[0]]
+            else:
+                self.ids_table[c] = b"".join([ids[w] for w in own])
+                self.text_table[c] = " ".join([texts[w] for w in own])
         for c, i in self.special.items():
             self.ids_table[c], self.text_table[c] = packed([i]), c
 
@@ -320,18 +279,29 @@ def packed(ids: list[int]) -> bytes:
 
 
 def frequent_words(docs: DataFrame, *, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent words of all texts, counted by Spark."""
+    """The most frequent words of all texts, ``most`` at most, counted by Spark.
+
+    A histogram of the counts, on a scale of logarithms, gives the least count that few enough words reach; words
+    below it stay in Spark.
+    """
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(COUNTED), F.lit(0))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("word") <= LONGEST)
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.collect()]
+    step = F.floor(F.log("n") * STEPS).cast("int")
+    counts = settle(counts.where("n > 1").select("word", step.alias("step")))
+    least, held = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        least = r.step
+    return [] if least is None else sorted(r.word for r in counts.where(F.col("step") >= least).collect())
 
 
 def lexicon_of(encoder: Encoder, words: Iterable[str]) -> bytes:
     """The compiled lexicon of the words, as the tokeniser cuts them."""
     cut = {w for word in words for w in encoder.words_of(word)}
-    return compile_lexicon((w.encode(), encoder.merger.ids(w)) for w in cut if len(w.encode()) <= LONGEST)
+    return compile_lexicon((w.encode(), encoder.merged(w)) for w in cut if len(w.encode()) <= LONGEST)
 
 
 def read_tokenizer(path: str) -> str:

@@ -88,7 +88,8 @@ def test_small_table():
 
 def test_frequent_words(spark):
     docs = spark.createDataFrame([("B a, b a b",), ("c",), (None,), ("",)], "text string")
-    assert frequent_words(docs) == ["b", "a"] and frequent_words(docs, most=1) == ["b"]
+    assert frequent_words(docs) == ["a", "b"] and frequent_words(docs, most=1) == ["b"]
+    assert frequent_words(docs, most=0) == []
 
 
 def test_query_rows(spark):
