@@ -31,6 +31,9 @@ EPSILON = 1e-8
 BLOCK_ROWS = 8192
 FAN_IN = 32
 
+#: Bytes of the hidden layer's arrays that a task holds at once; weight sets are run in groups that fit.
+LAYER_BYTES = 64 << 20
+
 
 def _split(flat: np.ndarray, p: int, h: int):
     """Views of flat weight vectors (…, D) as (W, b, v, c)."""
@@ -200,7 +203,7 @@ class MLPRegressor:
         active = np.ones(sets, dtype=bool)
 
         for step in range(1, self.max_iter + 1):
-            loss, grad, n = _summed(blocks, weights, p, h, wide)
+            loss, grad, n = _summed(blocks, weights, p, h, wide, _left_out(held_out), active)
             n = np.maximum(n, 1.0)
             loss = loss / n + 0.5 * self.l2 * ((weights * penalised) ** 2).sum(axis=1) / n
             grad = (grad + self.l2 * weights * penalised) / n[:, None]
@@ -218,17 +221,41 @@ class MLPRegressor:
         return weights
 
 
+def _left_out(held_out: list[tuple[str | None, object]]) -> np.ndarray:
+    """Per weight set the fold column and the value's number that it leaves out, or -1 and -1 for none."""
+    columns = list(dict.fromkeys(f for f, _ in held_out if f is not None))
+    seen = dict.fromkeys(columns, 0)
+    out = []
+    for f, _ in held_out:
+        out.append((-1, -1) if f is None else (columns.index(f), seen[f]))
+        if f is not None:
+            seen[f] += 1
+    return np.array(out, dtype=np.int64)
+
+
+def set_groups(sets: np.ndarray, rows: int, hidden: int, bytes_: int = LAYER_BYTES) -> list[np.ndarray]:
+    """The weight sets in groups whose hidden layers over ``rows`` rows (three arrays) fit in ``bytes_``."""
+    fit = max(1, bytes_ // (3 * 8 * max(rows, 1) * hidden))
+    return [sets[i:i + fit] for i in range(0, len(sets), fit)]
+
+
 def _blocks(df, features, target, fold_cols, held_out) -> DataFrame:
-    """Rows packed as numeric blocks: features, target and, per weight set, whether the row is used."""
-    p, sets = len(features), len(held_out)
+    """Rows packed as numeric blocks: features, target and, per fold column, the number of the row's value.
+
+    A row stores one number per fold column, however many weight sets leave something out. A row without a value
+    (number -1) is used by all sets.
+    """
+    p, folds = len(features), list(fold_cols)
+    numbers: dict[str, dict] = {f: {} for f in folds}
+    for f, v in held_out:
+        if f is not None:
+            numbers[f][v] = len(numbers[f])
     values = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
-    used = F.array(
-        *[
-            F.lit(1) if f is None else F.when(F.col(f"`{f}`") == F.lit(v), 0).otherwise(1)
-            for f, v in held_out
-        ]
+    names = [f"f{i}" for i in range(len(folds))]
+    narrow = df.select(
+        values.alias("x"), F.col(f"`{target}`").cast("double").alias("y"),
+        *[F.col(f"`{f}`").alias(n) for f, n in zip(folds, names)],
     )
-    narrow = df.select(values.alias("x"), F.col(f"`{target}`").cast("double").alias("y"), used.alias("u"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -238,30 +265,35 @@ def _blocks(df, features, target, fold_cols, held_out) -> DataFrame:
                 y = part["y"].to_numpy(dtype=float)
                 if np.isnan(x).any() or np.isnan(y).any():
                     raise ValueError("features and target must not be null when fitting")
-                u = np.array(part["u"].tolist(), dtype=np.int8).reshape(len(part), sets).T
-                yield pd.DataFrame(
-                    {"x": [x.tobytes()], "y": [y.tobytes()], "u": [np.ascontiguousarray(u).tobytes()]}
-                )
+                codes = [[numbers[f].get(v, -1) for v in part[n].tolist()] for f, n in zip(folds, names)]
+                u = np.array(codes, dtype=np.int32).reshape(len(folds), len(part))
+                yield pd.DataFrame({"x": [x.tobytes()], "y": [y.tobytes()], "u": [u.tobytes()]})
 
     return narrow.mapInPandas(pack, "x binary, y binary, u binary")
 
 
-def _summed(blocks: DataFrame, weights: np.ndarray, p: int, h: int, wide: bool):
-    """Loss, gradient and row count per weight set over all blocks."""
+def _summed(
+    blocks: DataFrame, weights: np.ndarray, p: int, h: int, wide: bool, left_out: np.ndarray, active: np.ndarray
+):
+    """Loss, gradient and row count per active weight set over all blocks."""
     sets, d = weights.shape
+    running = np.flatnonzero(active)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((sets, d + 2))
         for batch in batches:
             for x, y, u in zip(batch["x"], batch["y"], batch["u"]):
                 rows = np.frombuffer(y)
-                used = np.frombuffer(u, dtype=np.int8).reshape(sets, len(rows)).astype(float)
-                loss, grad = _gradients(
-                    np.frombuffer(x).reshape(len(rows), p), rows, used, weights, h
-                )
-                total[:, 0] += loss
-                total[:, 1] += used.sum(axis=1)
-                total[:, 2:] += grad
+                codes = np.frombuffer(u, dtype=np.int32).reshape(-1, len(rows))
+                for group in set_groups(running, len(rows), h):
+                    column, value = left_out[group].T
+                    used = np.ones((len(group), len(rows)))
+                    some = column >= 0
+                    used[some] = codes[column[some]] != value[some, None]
+                    loss, grad = _gradients(np.frombuffer(x).reshape(len(rows), p), rows, used, weights[group], h)
+                    total[group, 0] += loss
+                    total[group, 1] += used.sum(axis=1)
+                    total[group, 2:] += grad
         yield pd.DataFrame({"part": [total.tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

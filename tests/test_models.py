@@ -1,5 +1,7 @@
 """Network, held-out evaluation and attributions."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,78 @@ def test_attributions_add_up(data):
     assert moved.where(F.abs(F.col("phi") - F.col("other")) > 1e-9).count() == 0
 
 
+def by_all_orders(predict, x, background):
+    """Shapley values over all p! orders."""
+    p, phi = len(x), np.zeros(len(x))
+    orders = list(itertools.permutations(range(p)))
+    for order in orders:
+        mixed, before = background.copy(), predict(background).mean()
+        for j in order:
+            mixed[:, j] = x[j]
+            after = predict(mixed).mean()
+            phi[j] += after - before
+            before = after
+    return phi / len(orders)
+
+
+def test_errors_cover_all_orders(spark):
+    """Five features, a model with interactions: the stated errors hold against all 120 orders, and shrink on demand."""
+    def product(x):
+        return x[:, 0] * x[:, 1] * x[:, 2] + np.maximum(x[:, 3] - x[:, 4], 0.0)
+
+    names = list("abcde")
+    values = np.random.default_rng(4).normal(size=(46, 5))
+    data = spark.createDataFrame([(f"r{i}", *map(float, v)) for i, v in enumerate(values)], "k string, " + ", ".join(f"{n} double" for n in names))
+    sample = data.where("k IN ('r0', 'r1', 'r2', 'r3', 'r4', 'r5')")
+    exact = {f"r{i}": by_all_orders(product, values[i], values) for i in range(6)}
+
+    def misses(found):
+        """Per row the largest gap to the exact values and the largest stated error."""
+        worst = {}
+        for r in found:
+            gap, error = worst.get(r.k, (0.0, 0.0))
+            worst[r.k] = max(gap, abs(r.phi - exact[r.k][names.index(r.feature)])), max(error, r.error)
+        return zip(*worst.values())
+
+    gap, error = misses(shapley(sample, data, "k", names, product, permutations=16).collect())
+    assert max(error) > 0.02 and all(g <= 5 * e for g, e in zip(gap, error))
+    gap, error = misses(shapley(sample, data, "k", names, product, permutations=8, tolerance=0.05).collect())
+    assert len(gap) == 6 and max(error) <= 0.05 and max(gap) < 0.25
+
+
+def test_a_linear_model_stops_at_once(spark):
+    """Every order of a linear model gives the same attribution: no error, one round, however low the tolerance."""
+    calls = []
+
+    def linear(x):
+        calls.append(1)
+        return x @ np.array([2.0, -1.0])
+
+    data = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "k string, u double, v double")
+    found = shapley(data, data, "k", ["u", "v"], linear, permutations=2, tolerance=1e-12)
+    assert {(r.k, r.feature): (r.phi, r.error) for r in found.collect()} == {
+        ("a", "u"): (-2.0, 0.0), ("a", "v"): (1.0, 0.0), ("b", "u"): (2.0, 0.0), ("b", "v"): (-1.0, 0.0),
+    }
+    alone = shapley(data, data, "k", ["u", "v"], linear, permutations=1)
+    assert {r.error for r in alone.collect()} == {None}
+
+
+def test_many_periods_share_passes_within_a_bound(spark, monkeypatch):
+    """A thousand weight sets: one number per row and groups of sets, with the weights of any other grouping."""
+    groups = mlp.set_groups(np.arange(1000), mlp.BLOCK_ROWS, mlp.HIDDEN)
+    assert np.concatenate(groups).tolist() == list(range(1000))
+    assert all(len(g) * mlp.BLOCK_ROWS * mlp.HIDDEN * 24 <= mlp.LAYER_BYTES for g in groups)
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(2000, 2))
+    data = spark.createDataFrame([(i % 1000, *map(float, v), float(v[0])) for i, v in enumerate(values)], "s int, a double, b double, y double")
+    regressor = mlp.MLPRegressor(hidden=2, max_iter=2)
+    together = regressor.fit(data, ["a", "b"], "y", fold_cols=["s"])
+    assert together.weights.shape[0] == 1000
+    for k in (0, 123, 999):
+        alone = regressor.fit(data.where(F.col("s") != k), ["a", "b"], "y")
+        assert together.weights[k] == pytest.approx(alone.weights[0], abs=1e-9)
+
+
 def test_impact_tables(spark):
     long = spark.createDataFrame(
         [("a", "f", 1.0), ("a", "g", -2.0), ("b", "f", 3.0), ("b", "g", 0.0)], "k string, feature string, phi double"
