@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.session import checkpoint_folder
+from paneloom.session import checkpoint_folder, shared_folder
 
 #: A summary is broadcast only up to this many cells (rows x columns), about 32 MB of doubles.
 BROADCAST_CELLS = 2_000_000
@@ -28,6 +28,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a Parquet table of the open scope (``session.scratch``) and read it back.
+
+    For wide tables that are read several times: each later read takes the columns and row groups that it needs, and
+    knows its sizes. ``settle`` is for narrow tables and for rows whose order in a task matters.
+    """
+    path = shared_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark a settled table for broadcast when its measured size allows it."""
     small = df.count() * max(len(df.columns), 1) <= BROADCAST_CELLS

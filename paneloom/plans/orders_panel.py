@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.functions.text import entity_key, letters_only
-from paneloom.operators.spread import settle
+from paneloom.operators.spread import settle, stage
 from paneloom.operators.topk import top_per_group
 from paneloom.plans.league import conform_standings
 from paneloom.plans.stages import bronze, silver
@@ -185,7 +185,7 @@ def panel_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze after the filters, settled as a stage."""
-    return settle(silver(panel_bronze(spark, sf_dir), **LIMITS))
+    return stage(silver(panel_bronze(spark, sf_dir), **LIMITS))
 
 
 def daily_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from paneloom.operators.mlp import MLPModel, MLPRegressor
 from paneloom.operators.ranks import rank_by_group
 from paneloom.operators.scale import scale_by_group
 from paneloom.operators.shapley import shapley
-from paneloom.operators.spread import settle
+from paneloom.operators.spread import settle, stage
 from paneloom.operators.summary import conditional_counts, error_metrics
 from paneloom.operators.topk import top_rows
 from paneloom.operators.outcomes import period_outcomes
@@ -54,7 +54,7 @@ def bronze(
     joined = join_unique(players, votes, ["PLAYER", "TEAM", "SEASON"], "left", on_duplicate=on_duplicate)
     joined = join_unique(joined, standings, ["TEAM", "SEASON"], "inner", on_duplicate=on_duplicate)
     # Read twice from here on: for the rows and for the flags.
-    joined = settle(joined)
+    joined = stage(joined)
     keys = ["PLAYER", "TEAM"] if same_team else ["PLAYER"]
     won, podium = F.col("MVP_WINNER"), F.col("MVP_PODIUM")
     flagged = previous_period_flags(
@@ -233,7 +233,7 @@ def cross_validate(
     All fits share their passes over the data. With ``test`` also the errors of a fit on all of ``data`` there.
     """
     folded, names = assign_folds(data, key, splits, repeats=repeats, seed=seed)
-    folded = settle(folded)
+    folded = stage(folded)
     model = regressor.fit(folded, features, target, fold_cols=names)
     per_set = [
         F.struct(

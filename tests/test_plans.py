@@ -68,3 +68,36 @@ def test_unused_columns_are_not_read(stored, capsys):
 def test_scoring_stays_in_the_jvm(stored, capsys):
     model = MLPModel(["x"], 2, np.ones((1, 1 * 2 + 2 + 2 + 1)), [(None, None)])
     assert "Python" not in plan(model.transform(stored), capsys)
+
+
+def test_staged_tables_are_columnar_and_go_with_their_scope(spark, tmp_path):
+    """A scope's folder holds the panel as Parquet while it is open; reads take the columns they name."""
+    import os
+
+    from paneloom import scratch
+    from paneloom.plans import orders_panel as op
+
+    with scratch(spark) as folder:
+        table = op.panel_bronze(spark, "/root/testdata/sf0.001")
+        few = table.where("SEASON = 1997").select("PLAYER", "MP")
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "PTS_per_game" not in plan and "PushedFilters: [IsNotNull(SEASON)" in plan
+        assert few.count() > 0 and os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_scopes_nest_and_end_with_errors(spark):
+    import os
+
+    import pytest
+
+    from paneloom import scratch, shared_folder
+
+    with scratch(spark) as outer:
+        with pytest.raises(ValueError), scratch(spark) as inner:
+            spark.range(3).write.parquet(shared_folder(spark, "x"))
+            assert inner.startswith(outer) and os.listdir(inner.removeprefix("file:"))
+            raise ValueError
+        assert not os.path.exists(inner.removeprefix("file:"))
+    assert not os.path.exists(outer.removeprefix("file:"))
+    assert not shared_folder(spark, "x").startswith(outer)
