@@ -297,6 +297,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> It
 def weights_of(index: DataFrame, documents: int, terms: set[str]) -> dict[str, int]:
     """The weight of each of ``terms`` that some document holds."""
     wanted = index.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    wanted = F.broadcast(wanted) if len(terms) <= QUERY_TERMS else wanted
     held = index.select(F.explode(F.arrays_zip("terms", "n_docs")).alias("_e")).select("_e.terms", "_e.n_docs")
     counted = held.join(wanted, F.col("terms") == F.col("term")).groupBy("term").agg(F.sum("n_docs").alias("df"))
     return {r.term: math.floor(1000 * math.log((2 * documents + 2) / (2 * r.df + 1))) for r in counted.collect()}
@@ -315,7 +316,9 @@ def search(
     for block in item_blocks(items, item_col, text_col, query_terms):
         weights = weights_of(index, size[0], {t for _, terms in block for t in terms})
         sent = [(i, {t: weights[t] for t in terms if t in weights}) for i, (_, terms) in enumerate(block)]
-        first = index.limit(first_shards).mapInArrow(searcher(spark.sparkContext.broadcast((sent, {})), k), hits_of)
+        # One task's first shards; the others do not move.
+        few = index.where((F.spark_partition_id() == 0) & (F.col("shard") < first_shards))
+        first = few.mapInArrow(searcher(spark.sparkContext.broadcast((sent, {})), k), hits_of)
         full = first.groupBy("item").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         floors = {r.item: r.floor for r in full.collect()}
         hits = index.mapInArrow(searcher(spark.sparkContext.broadcast((sent, floors)), k), hits_of)
