@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from paneloom.llm.queries import secret_columns
-from paneloom.llm.secrets import ALPHABET, EVIDENCE, STATES, find_secrets, ratios, running_sum
+from paneloom.llm.secrets import ALPHABET, STATES, find_secrets, ratios, running_sum
 
 NAMES = "password|passwd|secret|token|api_?key"
 ASSIGN = re.compile(rf"""((?i:{NAMES}))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -98,7 +98,6 @@ def test_markov_models_find_random_strings(spark):
     got = {r.doc_id: r.spans for r in secret_columns(find_secrets(docs, table)).collect()}
     hits = [got[i] == "random:6:34" for i in range(100)]
     assert sum(hits) >= 97 and not any(got[100 + i] for i in range(100))
-    assert EVIDENCE > 10
 
 
 def test_added_spans_do_not_touch_base_ones(spark):
@@ -107,17 +106,42 @@ def test_added_spans_do_not_touch_base_ones(spark):
     assert secret_columns(find_secrets(docs, samples)).first().spans == "assign:0:28"
 
 
-def test_default_samples_find_planted_strings(spark):
-    """However many random tokens the texts hold, the ordinary model does not learn them; ordinary strings stay."""
+def test_default_samples_find_planted_strings_and_leave_identifiers(spark):
+    """200 plants per kind of secret and shape of name; however many random tokens there are, the models stay as they are.
+
+    Stated rates: at least 97 % of each kind of secret found (95 % of hexadecimal ones), and at most 2 %
+    of each shape of ordinary identifier flagged.
+    """
     rng = random.Random(12)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    words = sorted({w for t in given for w in (t or "").split() if w.isascii() and w.isalpha() and len(w) < 16})
-    names = ["_".join(rng.sample(words, 4)) for _ in range(200)] + ["=" * 60, "-" * 40, "mail4.example.com"]
-    texts = [(i, t) for i, t in enumerate(given)]
-    plants = [(10_000 + i, "see " + "".join(rng.choice(letters) for _ in range(28))) for i in range(1000)]
-    ordinary = [(20_000 + i, f"see {name}") for i, name in enumerate(names)]
-    docs = spark.createDataFrame([(i, t, "b", 1) for i, t in texts + plants + ordinary], SCHEMA)
+    words = sorted({w.lower() for t in given for w in (t or "").split() if w.isascii() and w.isalpha() and 3 <= len(w) < 12})
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"mixed": upper + lower + digits, "hex": digits + "abcdef", "base32": upper + "234567", "url": upper + lower + digits + "-_"}
+    secrets = {k: ["".join(rng.choice(a) for _ in range(28)) for _ in range(200)] for k, a in kinds.items()}
+
+    def pick(n):
+        return rng.sample(words, n)
+
+    shapes = {
+        "Camel": lambda: "".join(w.title() for w in pick(4)), "camel": lambda: pick(1)[0] + "".join(w.title() for w in pick(3)),
+        "snake": lambda: "_".join(pick(4)), "CONSTANT": lambda: "_".join(pick(4)).upper(), "kebab": lambda: "-".join(pick(4)),
+        "path": lambda: "/" + "/".join(pick(4)), "file": lambda: "_".join(pick(3)) + ".tar.gz",
+        "version": lambda: f"{'-'.join(pick(2))}-{rng.randint(1, 20)}.{rng.randint(0, 99)}.{rng.randint(0, 9)}",
+        "host": lambda: f"www.{''.join(pick(2))}.com/{pick(1)[0]}", "compound": lambda: "".join(pick(4)),
+        "uuid": lambda: "-".join("".join(rng.choice(digits + "abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+        "digits": lambda: "".join(rng.choice(digits) for _ in range(rng.randint(16, 24))),
+        "card": lambda: "-".join("".join(rng.choice(digits) for _ in range(4)) for _ in range(4)),
+    }
+    names = {}
+    for shape, make in shapes.items():
+        names[shape] = [n for n in (make() for _ in range(400)) if len(n) >= 16][:200]
+    rows, groups = list(enumerate(given)), {}
+    for kind, made in (secrets | names).items():
+        groups[kind] = range(len(rows), len(rows) + len(made))
+        rows += [(i, f"see {text}") for i, text in zip(groups[kind], made)]
+    docs = spark.createDataFrame([(i, t, "b", 1) for i, t in rows], SCHEMA)
     got = {r.doc_id: r.spans for r in secret_columns(find_secrets(docs)).collect()}
-    assert sum(got[i] == "random:4:32" for i, _ in plants) >= 970
-    assert sum("random" in got[i] for i, _ in ordinary) <= 4
+    rates = {kind: sum("random" in got[i] for i in at) / len(at) for kind, at in groups.items()}
+    print(rates)
+    assert all(rates[k] >= (0.95 if k == "hex" else 0.97) for k in kinds), rates
+    assert all(rates[k] <= 0.02 for k in shapes), rates
