@@ -5,8 +5,10 @@ with the number of tags since the line before. Lines inside elements that are ne
 forms, ...; by tag) are left out. So are those inside an element that a class, id or role names as such, unless it holds
 most of the text of the article or page around it, or an article, main or h1 element. The ratio of text to tags of the
 other lines is smoothed with a Gaussian, and lines at or above the standard deviation of the smoothed ratios are content.
-Every content line is kept, and all between the first and the last, but not lines at either end that are mostly links and
-reach the cut only by their neighbours; of an article or main element that holds content every line is taken.
+Neighbouring content lines are a cluster, and a cluster grows to the lowest container (article, main, section, div, td) around
+it, to lines beside it that reach a lower cut, and to the headings directly before it; no tag name decides. Every content
+line is kept, and all between the first and the last, but not lines at either end that are mostly links and reach the cut
+only by their neighbours.
 
 White space inside a line becomes one space, lines are trimmed, empty ones go, and the others are joined by one \\n in
 page order. Nothing else is dropped, and no length is capped. Null and empty pages have an empty text; text without tags
@@ -36,6 +38,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 ARTICLES = frozenset(("article", "main"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+#: Part of the cut that a line beside a region must reach to be taken in.
+LOWER = 0.5
 
 #: Elements that are no part of an article.
 BOILERPLATE = frozenset(
@@ -91,7 +97,8 @@ class Lines(HTMLParser):
         self.most = most
         self.lines: list[tuple[str, int, int]] = []  # text, tags, container
         self.links: list[int] = []  # characters of each line that are in links
-        self.raw: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # lines as parts, tags, container
+        self.headings: list[bool] = []  # whether each line is a heading
+        self.raw: list[tuple[list[tuple[str, int, bool]], int, int, bool]] = []  # lines as parts, tags, container, heading
         self.nodes: list[list] = [["", -1, 0, None]]  # tag, parent, first line, line after the last
         self.hints: list[list] = [[-1, 0, False]]  # parent, scope, whether it is kept for what it holds
         self.scopes = [0]  # characters of text on the page and in each article or main element
@@ -105,7 +112,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         parts, self.parts = self.parts, []
         if any(text.strip() for text, _, _ in parts):
-            self.raw.append((parts, self.tags, self.stack[-1][2]))
+            self.raw.append((parts, self.tags, self.stack[-1][2], any(self.open[h] for h in HEADINGS)))
             self.tags = 0
 
     def push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -204,7 +211,7 @@ class Lines(HTMLParser):
         for (parent, scope, kept), size in zip(self.hints[1:], self.sizes[1:]):
             left_out.append(left_out[parent] or not kept and size < self.most * self.scopes[scope])
         places, tags = [], 0
-        for parts, more, node in self.raw:
+        for parts, more, node, heading in self.raw:
             places.append(len(self.lines))
             tags += more
             shown = [(data, link) for data, hint, link in parts if not left_out[hint]]
@@ -212,6 +219,7 @@ class Lines(HTMLParser):
             if text:
                 self.links.append(sum(len("".join(data.split())) for data, link in shown if link))
                 self.lines.append((text, tags, node))
+                self.headings.append(heading)
                 tags = 0
         places.append(len(self.lines))
         for node in self.nodes:
@@ -252,22 +260,55 @@ def without_menus(page: Lines, content: list[int]) -> list[int]:
     ] or content
 
 
+def container_of(nodes: list[list], lines: list[tuple[str, int, int]], run: list[int]) -> int:
+    """The lowest container around a run of lines."""
+    around = lines[run[0]][2]
+    for i in run[1:]:
+        other = lines[i][2]
+        while around != other:  # parents have lower numbers than their children
+            around, other = (nodes[around][1], other) if around > other else (around, nodes[other][1])
+    return around
+
+
+def regions(page: Lines, content: list[int]) -> tuple[int, int]:
+    """The first line of the main text and the line after its last one.
+
+    A run of neighbouring content lines is a cluster. It grows to the whole of the lowest container around it, unless that
+    is the page itself; then to lines beside it that reach the lower cut, and to the headings directly before it.
+    """
+    lines, nodes = page.lines, page.nodes
+    runs: list[list[int]] = []
+    for i in content:
+        if runs and runs[-1][-1] == i - 1:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    ratios, cut = clustered(lines)
+    first, last = content[0], content[-1] + 1
+    for run in runs:
+        tag, _, begin, end = nodes[container_of(nodes, lines, run)]
+        if tag not in ("", "body"):
+            first, last = min(first, begin), max(last, end)
+
+    def near(i: int) -> bool:
+        return ratios[i] >= LOWER * cut and 2 * page.links[i] <= len(lines[i][0])
+
+    while first and (page.headings[first - 1] or near(first - 1)):
+        first -= 1
+    while last < len(lines) and near(last) and not page.headings[last]:
+        last += 1
+    return first, last
+
+
 def main_text(html: str | None, *, most: float = 0.6) -> str:
     """The main text of one page; a hinted element with the share ``most`` of the text around it is not left out."""
     page = Lines(most)
     page.feed(html or "")
     page.finish()
-    lines, nodes = page.lines, page.nodes
-    if not lines:
+    if not page.lines:
         return ""
-    content = without_menus(page, content_lines(lines))
-    outer = [0] * len(nodes)  # the outermost article or main element around each container, itself included
-    for node in range(1, len(nodes)):  # parents come before their children
-        outer[node] = outer[nodes[node][1]] or (node if nodes[node][0] in ARTICLES else 0)
-    articles = [nodes[n] for n in {outer[lines[i][2]] for i in content} if n]
-    first = min([content[0], *[begin for _, _, begin, _ in articles]])
-    last = max([content[-1] + 1, *[end for _, _, _, end in articles]])
-    return "\n".join(text for text, _, _ in lines[first:last])
+    first, last = regions(page, without_menus(page, content_lines(page.lines)))
+    return "\n".join(text for text, _, _ in page.lines[first:last])
 
 
 def extract_text(

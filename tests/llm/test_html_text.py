@@ -110,3 +110,25 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in extract_text(pages).collect()) == [("", 0), ("", 0), ("t", 1), ("t", 1)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_containers_decide_and_not_their_names():
+    """The given pages give the same text when article and main become div."""
+    import pyarrow.parquet as pq
+
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        assert main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", html)) == main_text(html)
+
+
+def test_short_paragraphs_around_long_ones_stay():
+    long, short = "A long paragraph with many words in it, and some more of them. " * 5, "A short one."
+    lines = ["Heading", short, short, short, long.strip(), long.strip(), long.strip(), "Closing.", short]
+    body = "<h1>Heading</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    menu = "<nav><a href=a>Menu</a></nav>"
+    for page in (f"<body>{menu}<div>{body}</div></body>", f"<body>{menu}<section><div>{body}</div></section></body>",
+                 f"<body>{menu}<article>{body}</article></body>"):
+        assert main_text(page) == "\n".join(lines)
+    parts = "".join(f"<div><p>{x}</p></div>" for x in lines[4:7])
+    assert main_text(f"<body>{menu}<div><h1>Heading</h1>{parts}<div><p>Closing.</p></div></div></body>") == "\n".join(
+        ["Heading", *lines[4:7], "Closing."]
+    )
