@@ -20,10 +20,11 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.operators.spread import attach, running_total, settle
+from paneloom.llm.common import attach
+from paneloom.operators.spread import running_total, settle
 
 #: Items that one task schedules at most, on average.
 BLOCK_ITEMS = 4096
@@ -75,20 +76,24 @@ def schedule_groups(groups: DataFrame, shards: int, *, block_items: int = BLOCK_
     return shard_of
 
 
+def item_of(text_col: str) -> Column:
+    """The group of a text: a 64-bit hash, null and empty texts alike."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def shard_rows(
     docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text",
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; shards of nearly equal size, equal texts together.
 
-    The size is the UTF-8 length plus 1. The checksum of a null text is null. Slots number a shard's rows from 0 by id.
-    Texts meet by a 64-bit hash, length and checksum; the texts themselves are not shuffled.
+    The size is the UTF-8 length plus 1. A null text counts as an empty one: size 1, checksum 0, the same group. Slots
+    number a shard's rows from 0 by id. Texts meet by a 64-bit hash; the texts themselves are not shuffled.
     """
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("item"),
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), item_of(text_col).alias("item"),
     )
     rows = settle(rows)
     groups = rows.groupBy("item").agg(F.sum("size").alias("weight"))
@@ -101,13 +106,18 @@ def shard_rows(
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, *, rows_per_file: int = 1_000_000,
                  text_col: str = "text") -> DataFrame:
-    """Write every row of ``docs``, all columns, into one folder per shard (``shard=0`` ...) and read them back."""
-    assigned = docs.withColumn("_item", F.xxhash64(F.col(text_col).isNull(), F.col(text_col)))
-    groups = assigned.groupBy(F.col("_item").alias("item")).agg(
-        F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("weight")
+    """Write every row of ``docs`` into one folder per shard (``shard=0`` ...) and read them back.
+
+    All columns are written, but for one that is called ``shard``: the folder's number takes its place.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]
+    assigned = docs.select(
+        F.struct(*kept).alias("_row"), item_of(text_col).alias("_item"),
+        (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1).alias("_size"),
     )
+    groups = assigned.groupBy(F.col("_item").alias("item")).agg(F.sum("_size").alias("weight"))
     shard_of = schedule_groups(groups, shards).withColumnRenamed("item", "_item")
-    attach(assigned, shard_of, ["_item"]).drop("_item").write.option("maxRecordsPerFile", rows_per_file).partitionBy(
-        "shard"
-    ).mode("overwrite").parquet(path)
+    attach(assigned.drop("_size"), shard_of, ["_item"]).select("_row.*", "shard").write.option(
+        "maxRecordsPerFile", rows_per_file
+    ).partitionBy("shard").mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)

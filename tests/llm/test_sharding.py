@@ -52,7 +52,7 @@ def test_rows(spark):
         slots[r.shard].append((r.slot, r.doc_id))
         homes[r.text_crc32, r.size].add(r.shard)
         assert (r.size, r.text_crc32) in {
-            (len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for t in text_of[r.doc_id]
+            (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in text_of[r.doc_id]
         }
     assert all(len(s) == 1 for s in homes.values())
     for taken in slots.values():
@@ -68,3 +68,11 @@ def test_empty_and_written(spark, tmp_path):
     back = write_shards(docs, str(tmp_path / "out"), 4)
     assert back.count() == 200 and set(back.columns) == {"doc_id", "text", "extra", "shard"}
     assert back.select("text", "shard").distinct().count() == 50
+
+
+def test_clashing_columns_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i % 5}", i, "old") for i in range(40)] + [(None, None, 1, "old")], "doc_id long, text string, _item int, shard string")
+    back = write_shards(docs, str(tmp_path / "out"), 2)
+    assert sorted(back.columns) == ["_item", "doc_id", "shard", "text"] and back.count() == 41
+    assert {r.shard for r in back.collect()} == {0, 1}
+    assert sorted(r["_item"] for r in back.collect()) == sorted([*range(40), 1])
