@@ -187,17 +187,23 @@ class MLPRegressor:
         finally:
             blocks.unpersist()
 
-    def _descend(self, blocks: DataFrame, p: int, held_out: list, wide: bool) -> np.ndarray:
-        h, sets = self.hidden, len(held_out)
+    def start(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weights before the first step, for ``p`` features, and which of them the L2 term penalises."""
+        h = self.hidden
         rng = np.random.default_rng(self.seed)
         bounds = np.sqrt(6.0 / (p + h)), np.sqrt(6.0 / (h + 1))
         start = np.concatenate(
             [rng.uniform(-bounds[0], bounds[0], p * h + h), rng.uniform(-bounds[1], bounds[1], h + 1)]
         )
-        weights = np.tile(start, (sets, 1))
-        penalised = np.zeros(weights.shape[1])
+        penalised = np.zeros(len(start))
         penalised[: p * h] = 1.0
         penalised[p * h + h : p * h + 2 * h] = 1.0
+        return start, penalised
+
+    def _descend(self, blocks: DataFrame, p: int, held_out: list, wide: bool) -> np.ndarray:
+        h, sets = self.hidden, len(held_out)
+        start, penalised = self.start(p)
+        weights = np.tile(start, (sets, 1))
         first, second = np.zeros_like(weights), np.zeros_like(weights)
         best, stale = np.full(sets, np.inf), np.zeros(sets, dtype=int)
         active = np.ones(sets, dtype=bool)
