@@ -3,8 +3,9 @@
 Trusted positives and unlabelled web text train a linear model: the risk of calling a text bad is estimated from
 unlabelled text minus what positives contribute to it, given the share of positives (the class prior), and that part of
 the risk is kept from falling below zero (the non-negative unbiased estimator). Where it does, the step goes the other
-way, which undoes overfitting to the unlabelled sample. The class prior is estimated as the share of positives among
-the labelled rows that may be used. The model is fitted on a bounded sample (``sample_rows`` positives and as many
+way, which undoes overfitting to the unlabelled sample. The class prior is the share of positives in the unlabelled text,
+estimated from positives and unlabelled rows alone (``estimated_prior``): labels of bad rows are never read, and the
+share of good ones among the labelled does not matter. The model is fitted on a bounded sample (``sample_rows`` positives and as many
 unlabelled rows, chosen by a hash of id and text, copies once); every row is scored.
 
 Features come from the whole text alone: the share of each byte, of hashed pairs of bytes, and a few statistics of
@@ -99,6 +100,38 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
     return w / scale, float(b - middle @ (w / scale))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 150, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows.
+
+    A classifier of positives against unlabelled rows is fitted on every second row of both. Among the other rows, the
+    part of the unlabelled with a score of at least t is at least the share times that part of the positives; so the
+    share is at most the ratio of the two, for every t, and close to it where hardly any bad row scores t. The t is
+    taken where the ratio's upper confidence bound is least, which keeps away from tails with few rows. One half without
+    rows gives 0.5.
+    """
+    p, u, test_p, test_u = positive[::2], unlabelled[::2], positive[1::2], unlabelled[1::2]
+    if not len(test_p) or not len(test_u):
+        return 0.5
+    # With as much weight for either kind, the risk of the model with a prior of one half and no correction.
+    middle, scale = u.mean(axis=0), u.std(axis=0) + 1e-2
+    p, u = (p - middle) / scale, (u - middle) / scale
+    w, b = np.zeros(p.shape[1]), 0.0
+    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for step in range(1, steps + 1):
+        slope_p, slope_u = (1 / (1 + np.exp(-(p @ w + b))) - 1) / len(p), 1 / (1 + np.exp(-(u @ w + b))) / len(u)
+        slope = np.append(p.T @ slope_p + u.T @ slope_u + 1e-2 * w, slope_p.sum() + slope_u.sum())
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        move = 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    of_p, of_u = (np.sort(((x - middle) / scale) @ w + b) for x in (test_p, test_u))
+    cuts = of_p  # the ratio only falls as a cut moves up to the next positive
+    part_p = 1 - np.arange(len(of_p)) / len(of_p)
+    part_u = 1 - np.searchsorted(of_u, cuts) / len(of_u)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * n)) for n in (len(of_p), len(of_u)))
+    at = int(np.argmin((part_u + slack) / part_p))
+    return float(min(0.99, max(0.01, part_u[at] / part_p[at])))
+
+
 def chance(column: Column, salt: int) -> Column:
     """A number in [0, 1) that a hash of the column decides."""
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -112,10 +145,6 @@ def trained(
         labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(label_id)))
         .groupBy(F.col(label_id).alias("id")).agg(F.min(label_col).alias("good"))
     )
-    positives, labelled = usable.agg(F.count_if(F.col("good") == 1), F.count(F.lit(1))).first()
-    if not positives:
-        return None
-    prior = min(0.99, max(0.01, positives / labelled))
     good = usable.where("good = 1").select("id", F.lit(True).alias("good"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.where(~held_out(F.col("id"))).withColumns(
@@ -149,7 +178,9 @@ def trained(
     matrix = np.frombuffer(b"".join(r[3] for r in sample), dtype=np.float32).reshape(-1, WIDTH)
     positive = matrix[[r[1] for r in sample]]
     unlabelled = matrix[[r[2] for r in sample]]
-    return fit(positive, unlabelled if len(unlabelled) else positive, prior)
+    if not len(unlabelled):
+        unlabelled = positive
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def quality_scores(

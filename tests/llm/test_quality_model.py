@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from paneloom.llm import quality_model
-from paneloom.llm.quality_model import WIDTH, features, fit, quality_scores
+from paneloom.llm.quality_model import WIDTH, estimated_prior, features, fit, quality_scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,6 +42,54 @@ def test_prior_corrects_the_unlabelled_share():
     assert ((good @ w + b) > 0).mean() > 0.97 and ((bad[500:] @ w + b) > 0).mean() < 0.08
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(1)
+    positive = rng.normal(1.5, 1, (3000, 4))
+    unlabelled = np.concatenate([rng.normal(1.5, 1, (int(4000 * share), 4)), rng.normal(-1.5, 1, (int(4000 * (1 - share)), 4))])
+    assert abs(estimated_prior(positive, rng.permutation(unlabelled)) - share) < 0.06
+    assert estimated_prior(positive[:1], unlabelled) == 0.5
+
+
+def test_labelled_share_does_not_matter(spark, monkeypatch):
+    """Nine tenths of the labels are bad, and so is a quarter of the documents: the prior is three quarters."""
+    priors = []
+    monkeypatch.setattr(quality_model, "fit", lambda good, rest, prior: priors.append(prior) or fit(good, rest, prior))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcde " if i % 4 else "vwxyz#") for _ in range(300)) for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    good, bad = [i for i in range(3000) if i % 4][:300], [i for i in range(3000) if not i % 4]
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in bad * 4], "doc_id long, quality int")
+    scored = quality_scores(docs, labels).collect()
+    assert abs(priors[0] - 0.75) < 0.06
+    assert sum(r.predicted == int(r.doc_id % 4 > 0) for r in scored) > 0.98 * len(scored)
+
+
+def slope_by_differences(positive, unlabelled, prior, w, b):
+    """The derivative of the non-negative risk, by differences, from its definition."""
+    def risk(w, b):
+        zp, zu = positive @ w + b, unlabelled @ w + b
+        return prior * np.log1p(np.exp(-zp)).mean() + np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+
+    step, out = 1e-6, []
+    for i in range(len(w)):
+        up, down = w.copy(), w.copy()
+        up[i] += step
+        down[i] -= step
+        out.append((risk(up, b) - risk(down, b)) / (2 * step))
+    return np.array(out)
+
+
+def test_first_step_follows_the_risk():
+    """One step of Adam moves each weight against the sign of the risk's derivative, computed by differences."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(1, 1, (200, 3)), rng.normal(0, 2, (300, 3))
+    w, b = fit(positive, unlabelled, 0.6, steps=1, decay=0.0)
+    middle, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-2
+    slope = slope_by_differences((positive - middle) / scale, (unlabelled - middle) / scale, 0.6, np.zeros(3), 0.0)
+    assert np.array_equal(np.sign(w), -np.sign(slope)) and np.allclose(np.abs(w * scale), 0.05, atol=1e-4)
+
+
 def test_features_cover_the_whole_text():
     assert features(b"").shape == (WIDTH,) and not features(b"").any()
     long = b"word " * 600_000
