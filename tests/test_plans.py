@@ -101,3 +101,37 @@ def test_scopes_nest_and_end_with_errors(spark):
         assert not os.path.exists(inner.removeprefix("file:"))
     assert not os.path.exists(outer.removeprefix("file:"))
     assert not shared_folder(spark, "x").startswith(outer)
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outer_concat_shuffles_once(spark):
+    """However many tables are joined side by side, there is one exchange, on the key."""
+    from paneloom.operators.joins import outer_concat
+
+    tables = [spark.range(20).selectExpr(f"id + {i} AS k", f"id AS x{i}", f"id * {i} AS shared") for i in range(5)]
+    joined = outer_concat(tables, "k")
+    plan = _physical(joined)
+    assert plan.count("Exchange hashpartitioning(k") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    assert joined.columns == ["k", "x0", "shared", "x1", "x2", "x3", "x4"] and joined.count() == 24
+    lone = spark.createDataFrame([(None, 1), (None, 2), (5, 3)], "k int, a int")
+    both = outer_concat([lone, lone.withColumnRenamed("a", "b")], "k").collect()
+    assert sorted(map(tuple, both), key=str) == sorted(
+        [(None, 1, None), (None, 2, None), (None, None, 1), (None, None, 2), (5, 3, 3)], key=str
+    )
+
+
+def test_folds_are_numbered_without_a_window_over_everything(spark):
+    import math
+
+    from paneloom.operators.folds import assign_folds
+
+    folded, names = assign_folds(spark.range(1000), "id", 3, repeats=2)
+    assert "SinglePartition" not in _physical(folded)
+    for name in names:
+        sizes = [r["count"] for r in folded.groupBy(name).count().collect()]
+        assert sorted(sizes) == [math.floor(1000 / 3)] * 2 + [334]
+    again, _ = assign_folds(spark.range(1000).repartition(7), "id", 3, repeats=2)
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, again.collect()))

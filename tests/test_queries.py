@@ -14,6 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 CHECKED = [
     "season_top3", "conf_standings", "topn_probability", "stat_tables_outer_concat", "schedule_split",
     "target_corr_kendall", "loso_winners", "votes_table", "latest_record", "local_top_impacts",
+    "corr_pruned_columns", "target_corr_spearman", "kfold_linear", "fixed_weights_scored", "mlp_three_steps",
+    "sampled_customers", "stage_built_once", "history_append",
 ]
 
 
