@@ -111,8 +111,8 @@ def _pairs_by_moments(
         for group in tile_groups(p, tile, bytes_)
     ]
     blocks = union_all(scans)
-    while tasks > fan_in:  # the numbers of a group's tasks follow one another, from any number on
-        tasks = tasks // fan_in + 2
+    while tasks > fan_in + 1:  # the numbers of a group's tasks follow one another, from any number on
+        tasks = -(-tasks // fan_in) + 1
         up = blocks.withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
         blocks = up.groupBy("i", "j", "part").applyInPandas(_added, blocks.schema)
     blocks = blocks.groupBy("i", "j").applyInPandas(_added, blocks.schema)
