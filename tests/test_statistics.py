@@ -127,19 +127,6 @@ def test_groups_of_tiles_hold_their_bound():
     assert all(len(g) * 8 * 6 * 512 ** 2 <= 64 << 20 and len({i for i, _ in g}) == 1 for g in groups)
 
 
-def test_columns_of_several_tiles(spark):
-    """A table wider than a tile: pairs within and between tiles."""
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 530))
-    x[:, 529] = -x[:, 3]
-    names = [f"c{i}" for i in range(530)]
-    got = c.pair_correlations(spark.createDataFrame(pd.DataFrame(x, columns=names)), names).toPandas()
-    assert len(got) == 530 * 529 // 2
-    shown = got.set_index(["col_a", "col_b"])["corr"]
-    assert shown["c3", "c529"] == pytest.approx(-1)
-    assert shown["c500", "c520"] == pytest.approx(np.corrcoef(x[:, 500], x[:, 520])[0, 1], abs=1e-12)
-
-
 @pytest.mark.parametrize("slices", [1, 3, 40])
 def test_kendall(table, data, slices):
     got = {r.feature: r.abs_corr for r in c.target_correlations(table, ["a", "b", "near"], "y", "kendall", slices=slices).collect()}
