@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,15 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let the driver drop what no table refers to any more, so that shuffle files of finished steps go at once.
+
+    Spark deletes them when the driver's JVM collects its garbage, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join a table with at most one row per key: settled, counted, and broadcast only when it is small."""
     known = settle(summary)
