@@ -1,0 +1,193 @@
+"""Shingles of lines as arrays inside a task: minima for signatures, exact similarities of pairs and of chunks.
+
+Everything works on Arrow batches that Spark has partitioned and shuffled. A shingle is known by a 64-bit hash of its code
+points; a line shorter than a shingle is one shingle of its own, padded by a value that no code point has. Lines are
+hashed in slices of about ``SLICE`` code points, so memory follows the longest line and not the batch.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+#: Code points that are hashed at a time.
+SLICE = 1 << 17
+
+#: What fills up a line that is shorter than a shingle.
+PAD = np.uint32(0xFFFFFFFF)
+
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """The lines of a binary column; malformed bytes are replaced."""
+    return [raw.decode("utf-8", "replace") for raw in column.to_pylist()]
+
+
+def factors(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fixed odd multipliers and summands below 2 ** 32."""
+    rng = random.Random(20)
+    drawn = [(rng.getrandbits(32) | 1, rng.getrandbits(32)) for _ in range(count)]
+    return tuple(np.array(x, dtype=np.uint32) for x in zip(*drawn))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose high and low bits all depend on all bits."""
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def sliced(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of lines with about ``SLICE`` code points; a longer line is alone."""
+    first = held = 0
+    for i, line in enumerate(lines):
+        if held and held + len(line) > SLICE:
+            yield first, i
+            first, held = i, 0
+        held += len(line)
+    if lines:
+        yield first, len(lines)
+
+
+def shingle_hashes(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of the lines, one line after the other, and where each line's begin."""
+    real = np.array([len(line) for line in lines], dtype=np.int64)
+    size = np.maximum(real, length)
+    ends = np.cumsum(size)
+    joined = "".join([line if len(line) >= length else line.ljust(length) for line in lines])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if (real < length).any():
+        codes = codes.copy()
+        for i in np.flatnonzero(real < length):
+            codes[ends[i] - length + real[i]:ends[i]] = PAD
+    wide = codes.astype(np.uint64)
+    last = len(wide) - length + 1
+    h = np.zeros(last, dtype=np.uint64)
+    for step in range(length):
+        h *= BASE
+        h += wide[step:step + last]
+    inside = np.ones(len(wide), dtype=bool)
+    for back in range(1, length):  # a shingle does not reach into the next line
+        inside[ends - back] = False
+    counts = size - (length - 1)
+    return mixed(h[inside[:last]]), np.cumsum(counts) - counts
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The keys of each line's bands: ``rows`` minima each, under multiply-and-add functions."""
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    image = np.empty_like(low)
+    times, plus = factors(bands * rows)
+    keys = np.empty((len(starts), bands), dtype=np.uint64)
+    for band in range(bands):
+        key = np.full(len(starts), band + 1, dtype=np.uint64)
+        for at in range(band * rows, (band + 1) * rows):
+            np.multiply(low, times[at], out=image)
+            np.add(image, plus[at], out=image)
+            key = mixed(key * BASE + np.minimum.reduceat(image, starts))
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def sign(length: int, bands: int, rows: int):
+    """Batches of (id, line) to (id, weight, k0, k1, ...), one row per distinct line of a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first, copies = np.unique(batch.column("id").to_numpy(), return_index=True, return_counts=True)
+            lines = texts_of(batch.column("line").take(pa.array(first)))
+            for low, high in sliced(lines):
+                hashes, starts = shingle_hashes(lines[low:high], length)
+                keys = band_keys(hashes, starts, bands, rows)
+                weight = np.diff(starts, append=len(hashes)) * copies[low:high]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[low:high]), pa.array(weight), *[pa.array(keys[:, b]) for b in range(bands)]],
+                    names=["id", "weight", *[f"k{b}" for b in range(bands)]],
+                )
+    return run
+
+
+def sets_of(lines: list[str], length: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    sets = []
+    for low, high in sliced(lines):
+        hashes, starts = shingle_hashes(lines[low:high], length)
+        sets += [np.unique(part) for part in np.split(hashes, starts[1:])]
+    return sets
+
+
+def near_ones(own: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each of ``others`` whether its exact Jaccard similarity to ``own`` reaches ``threshold``."""
+    sizes = np.array([len(x) for x in others], dtype=np.int64)
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+    shared = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+    return shared >= (len(own) + sizes - shared) * threshold
+
+
+def verify(length: int, threshold: float):
+    """Batches of (a, b, x, y) to the (a, b) whose lines x and y are near-duplicates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            ids, first, place = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+            lines = pa.concat_arrays([batch.column("x"), batch.column("y")]).take(pa.array(first))
+            sets = sets_of(texts_of(lines), length)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            i, j = place[:len(a)], place[len(a):]
+            near = np.minimum(sizes[i], sizes[j]) >= np.maximum(sizes[i], sizes[j]) * threshold
+            for at in np.flatnonzero(near):
+                near[at] = near_ones(sets[i[at]], [sets[j[at]]], threshold)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+    return run
+
+
+def chunk_of(column: pa.Array, row: int) -> dict:
+    """The lines of one chunk: ids, components, keys as a matrix, and the lines themselves."""
+    lines = column.slice(row, 1).flatten()
+    ids, comp, keys, line = (lines.field(i) for i in range(4))
+    return {
+        "id": ids.to_numpy(zero_copy_only=False), "comp": comp.to_numpy(zero_copy_only=False),
+        "keys": keys.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), "line": line,
+    }
+
+
+def chunk_links(left: dict, right: dict, band: int, same: bool, length: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The links between the lines of two chunks of a band.
+
+    Lines of one component need none, and a pair that shares an earlier band is looked at there.
+    """
+    open_ = left["comp"][:, None] != right["comp"][None, :]
+    if same:
+        open_ &= left["id"][:, None] < right["id"][None, :]
+    for earlier in range(band):
+        open_ &= left["keys"][:, None, earlier] != right["keys"][None, :, earlier]
+    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    own = dict(zip(rows, sets_of(texts_of(left["line"].take(pa.array(rows))), length)))
+    others = dict(zip(columns, sets_of(texts_of(right["line"].take(pa.array(columns))), length)))
+    found = []
+    for i in rows:
+        n = len(own[i])
+        near = [j for j in np.flatnonzero(open_[i]) if min(n, len(others[j])) >= max(n, len(others[j])) * threshold]
+        if near:
+            hit = np.array(near)[near_ones(own[i], [others[j] for j in near], threshold)]
+            found += [(left["id"][i], right["id"][j]) for j in hit]
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def verify_chunks(length: int, threshold: float):
+    """Batches of (band, lines, others) to links (a, b); without ``others`` a chunk meets itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, lines, others = (batch.column(name) for name in ("band", "lines", "others"))
+            for row in range(batch.num_rows):
+                same = not others[row].is_valid
+                left = chunk_of(lines, row)
+                right = left if same else chunk_of(others, row)
+                a, b = chunk_links(left, right, bands[row].as_py(), same, length, threshold)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return run
